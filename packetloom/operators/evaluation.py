@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.labels import decode_label
 from packetloom.functions.values import ratio
-from packetloom.operators.ordering import group_values
+from packetloom.operators.ordering import group_values, literal_lookup
 from packetloom.schemas import LABELS
 
 
@@ -52,11 +51,9 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     known = group_values(counts)
     if known is not None:
         n, k = sum(r["count"] for r in known), len(known)
-        pairs = [(r[label], n / (k * r["count"])) for r in known if r[label] is not None]
-        nulls = [n / (k * r["count"]) for r in known if r[label] is None]
-        items = [F.lit(x) for x in chain.from_iterable(pairs)]
-        weight = F.try_element_at(F.create_map(*items), F.col(label)) if items else F.lit(None)
-        return df.withColumn(name, F.coalesce(weight, F.lit(nulls[0] if nulls else None)).cast("double"))
+        weights = {r[label]: n / (k * r["count"]) for r in known}
+        missing = F.lit(weights.pop(None, None)).cast("double")
+        return df.withColumn(name, F.coalesce(literal_lookup(weights, F.col(label)), missing))
     totals = counts.agg(F.struct(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     per_class = counts.select(
         F.col(label).alias("_class"),

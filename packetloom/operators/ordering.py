@@ -54,18 +54,34 @@ def _splits(cuts: Sequence[float]) -> list[float]:
     return [float("-inf"), *inner, float("inf")]
 
 
+def _apart(cuts: Sequence[float], gap: float) -> list[float]:
+    """The cut points that lie at least ``gap`` after the one before."""
+    kept: list[float] = []
+    for cut in cuts:
+        if not kept or cut - kept[-1] >= gap:
+            kept.append(cut)
+    return kept
+
+
 def with_order_bucket(
-    df: DataFrame, order: Sequence[str], buckets: int | None = None, name: str = _BUCKET
+    df: DataFrame,
+    order: Sequence[str],
+    buckets: int | None = None,
+    name: str = _BUCKET,
+    gap: float = 0.0,
 ) -> DataFrame:
     """Add a bucket number that never decreases along ``order`` (ascending).
 
     Cut points are quantiles of the first order column. A value that holds
     more than a bucket's share of the rows gets a bucket of its own, which is
-    then cut along the second order column.
+    then cut along the second order column. ``gap`` is the least width of a
+    bucket.
     """
     buckets = buckets or default_buckets(df)
     first = _position(df, order[0])
     cuts = _quantiles(df, first, buckets)
+    if gap:
+        cuts = _apart(cuts, gap)
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b and abs(a) < _EXACT_DOUBLE})
     edges = list(cuts) + [math.nextafter(h, math.inf) for h in hot]
     splits = _splits(edges)
@@ -260,6 +276,14 @@ def group_values(df: DataFrame, limit: int = _GROUP_LIMIT) -> list | None:
     return None if len(rows) > limit else rows
 
 
+def literal_lookup(pairs: Mapping, key: Column) -> Column:
+    """A small driver-side mapping as an expression; NULL where absent."""
+    if not pairs:
+        return F.lit(None)
+    items = [F.lit(x) for pair in pairs.items() for x in pair]
+    return F.try_element_at(F.create_map(*items), key)
+
+
 def rolling_stats(
     df: DataFrame,
     value: str,

@@ -11,6 +11,7 @@ from packetloom.operators.ordering import running_totals
 
 LINEAR = "linear"  # interpolate between the two nearest ranks
 RANK = "rank"  # the element at floor(n * p), 0-based, at most the last
+_ONE_TASK_ROWS = 20_000_000
 
 
 def percentile_name(p: float) -> str:
@@ -35,13 +36,14 @@ def exact_percentiles(
     value: str,
     ps: Sequence[float],
     kind: str = LINEAR,
-    accuracy: int = 50_000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """One row with an exact percentile column (``p95`` ...) for each of ``ps``.
 
     A sketch first gives a bracket around every percentile, some rows wide per
     ``accuracy`` rows. Outside the brackets rows are only counted; inside them
-    equal values are merged, and just these few values are ordered.
+    equal values are merged, and just these few values are ordered: by one task
+    while they are few, else in buckets.
     """
     ps = sorted(ps)
     rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
@@ -61,10 +63,14 @@ def exact_percentiles(
         .groupBy("zone", F.when(inside, F.col("v")).alias("at"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    everything = Window.partitionBy(F.lit(0))  # bracket values only
-    ordered = pieces.withColumn("n", F.sum("c").over(everything)).withColumn(
-        "start",
-        F.sum("c").over(everything.orderBy("zone", "at")) - F.col("c"),
+    inside_rows = rows.count() * 2 * margin * len(ps)
+    if inside_rows <= _ONE_TASK_ROWS:
+        everything = Window.partitionBy(F.lit(0)).orderBy("low")
+        ordered = pieces.withColumn("end", F.sum("c").over(everything))
+    else:
+        ordered = running_totals(pieces, {"end": F.col("c")}, ["low"])
+    ordered = ordered.withColumn("start", F.col("end") - F.col("c")).withColumn(
+        "n", pieces.agg(F.sum("c")).scalar()
     )
     return ordered.agg(*[_pick(p, kind).alias(percentile_name(p)) for p in ps])
 

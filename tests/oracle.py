@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 import duckdb
 
@@ -33,6 +34,10 @@ def _plain(value):
     return value
 
 
+def _kind(arrow_type) -> str:
+    return re.sub(r"<\w+: ", "<", str(arrow_type).replace("large_", ""))
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(_plain(r[i]) for i in order) for r in rows]
@@ -49,7 +54,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str) -> str | None:
         return f"columns {sorted(got.column_names)} != {sorted(table.column_names)}"
     for field in got.schema:
         other = table.schema.field(field.name).type
-        if str(field.type).replace("large_", "") != str(other).replace("large_", ""):
+        if _kind(field.type) != _kind(other):
             if not (str(field.type).startswith("timestamp") and str(other).startswith("timestamp")):
                 return f"type of {field.name}: {field.type} != {other}"
     a = _rows(got.column_names, zip(*[c.to_pylist() for c in got.columns])) if got.num_rows else []

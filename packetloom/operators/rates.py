@@ -104,7 +104,8 @@ def _batches(groups: Iterator[Group], rows: int = 10_000) -> Iterator[pd.DataFra
 
 def _objects(*values) -> np.ndarray:
     out = np.empty(len(values), dtype=object)
-    out[:] = values
+    for i, value in enumerate(values):
+        out[i] = value
     return out
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "packetloom", **conf: str) -> SparkSession:
@@ -39,3 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "packetloom", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder.
+
+    Used where several jobs pass over the same costly rows: a lost executor
+    then costs a re-read, not the whole plan before it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,8 +16,8 @@ def strip(text: Column) -> Column:
 
 
 def is_finite(number: Column) -> Column:
-    """False for NULL, NaN and the infinities."""
-    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(_INF))
+    """False for the infinities and NaN (which sorts above them); NULL stays."""
+    return F.abs(number) < F.lit(_INF)
 
 
 def clean_number(number: Column, default: float = 0.0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,17 @@ from packetloom.schemas import (
 )
 
 
+def settled(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that later steps find computed.
+
+    A filter on a computed column is otherwise pushed below the computation
+    and repeats it, which costs a second pass of a model, or of 30 checks, per
+    row. The one-row generator keeps the two apart.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
+
+
 def strip_headers(df: DataFrame) -> DataFrame:
     """Column names without surrounding blanks."""
     return df.toDF(*[c.strip() for c in df.columns])

@@ -26,6 +26,7 @@ from packetloom.operators.evaluation import (
     classification_report,
     imbalance_ratio,
 )
+from packetloom.operators.features import settled
 from packetloom.schemas import FEATURES, LABELS
 from packetloom.session import scratch_path, written
 
@@ -163,18 +164,18 @@ def score_flows(
         raise ModelMissing("model is not trained or loaded")
     if model.algorithm == BOOSTED:
         scored, margins = _boosted_margins(model.model, with_vector(df, features))
-        scored = scored.withColumn("_m", margins)
+        scored = settled(scored, {"_m": margins})
         odds = F.transform("_m", lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        total = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p)
-        scored = scored.withColumn("_p", odds).withColumn("_at", argmax_index(F.col("_m")))
-        scored = scored.withColumn("_p", F.transform("_p", lambda p: p / total))
+        scored = settled(scored, {"_o": odds, "_at": argmax_index(F.col("_m"))})
+        total = F.aggregate("_o", F.lit(0.0), lambda a, p: a + p)
+        scored = settled(scored.withColumn("_t", total), {"_p": F.transform("_o", lambda p: p / F.col("_t"))})
     else:
         forest = model.model.copy()
         forest.setFeaturesCol(_VECTOR).setPredictionCol("")
         forest.setRawPredictionCol("").setProbabilityCol("_v")
         scored = forest.transform(with_vector(df, features))
-        scored = scored.withColumn("_p", vector_to_array("_v"))
-        scored = scored.withColumn("_at", argmax_index(F.col("_p")))
+        scored = settled(scored, {"_p": vector_to_array("_v")})
+        scored = settled(scored, {"_at": argmax_index(F.col("_p"))})
     names = F.array(*[F.lit(n) for n in model.labels])
     return scored.select(
         *df.columns,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.operators.features import settled
 from packetloom.schemas import COUNTERS, FEATURES, NON_NEGATIVE
 
 _INF = float("inf")
@@ -53,7 +54,9 @@ def validate_features(
     the job at the first broken row.
     """
     check_schema(df)
-    flagged = df.withColumn("violations", violations(nonneg, whole))
+    # the checks read each feature several times
+    ready = settled(df, {f: F.col(f) for f in FEATURES}).select(*df.columns)
+    flagged = ready.withColumn("violations", violations(nonneg, whole))
     clean = F.size("violations") == 0
     if mode == "flag":
         return flagged

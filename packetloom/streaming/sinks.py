@@ -45,7 +45,8 @@ def alert_table(alerts: DataFrame, path: str, checkpoint: str):
     )
 
 
-def _finish(query: StreamingQuery) -> None:
+def finish(query: StreamingQuery) -> None:
+    """Wait for the end of a query that stops by itself."""
     query.awaitTermination()
     if query.exception():
         raise query.exception()
@@ -55,7 +56,7 @@ def drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Process what is there now and return it as a table."""
     path = scratch_path(spark, name)
     writer = alert_table(stream, f"{path}/rows", f"{path}/checkpoint")
-    _finish(writer.trigger(availableNow=True).start())
+    finish(writer.trigger(availableNow=True).start())
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -67,5 +68,5 @@ def drain_totals(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame
         batch.write.mode("overwrite").parquet(f"{path}/rows")
 
     writer = on_batch(stream, replace, f"{path}/checkpoint", mode="complete")
-    _finish(writer.trigger(availableNow=True).start())
+    finish(writer.trigger(availableNow=True).start())
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -93,7 +93,7 @@ def _rolling_sql(by: str, size: int) -> str:
 def _(spark, d):
     # roots: no average lands on a rounding tie
     events = table(spark, d, "events").select("event_id", "ts", F.sqrt("value").alias("value"))
-    out = O.rolling_stats(events, "value", _EVENT_ORDER, 500, chunk=1500)
+    out = O.rolling_stats(events, "value", _EVENT_ORDER, 500, blocks=3)
     return rounded(out.drop("ts", "value"))
 
 
@@ -102,7 +102,7 @@ def _(spark, d):
     events = table(spark, d, "events").select(
         "event_id", "ts", F.sqrt("value").alias("value"), "event_type"
     )
-    out = O.rolling_stats(events, "value", _EVENT_ORDER, 100, by=["event_type"], chunk=400)
+    out = O.rolling_stats(events, "value", _EVENT_ORDER, 100, by=["event_type"], blocks=4)
     return rounded(out.drop("ts", "value", "event_type"))
 
 

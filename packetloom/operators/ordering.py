@@ -290,34 +290,59 @@ def rolling_stats(
     order: Sequence[str],
     size: int = 10_000,
     by: Sequence[str] = (),
-    chunk: int | None = None,
+    blocks: int = 10,
 ) -> DataFrame:
     """avg, min, max of the last ``size`` rows at every row, within ``by``.
 
-    Rows are cut into chunks by rank. A chunk also receives the ``size - 1``
-    rows before it, so no chunk holds more than ``chunk + size`` rows, however
-    many rows its group has.
+    Ranks are cut into blocks of ``size`` rows. The last ``size`` rows are the
+    end of one block and the beginning of the next, so each figure combines a
+    running value from the front of a block with one from its back: the work
+    per row does not depend on ``size``. Blocks go to tasks in chunks of
+    ``blocks``; a chunk also gets the ``size - 1`` rows before it. No task
+    holds more, however many rows a group has.
     """
+    if size < 1:
+        raise ValueError("size must be positive")
     by = list(by)
-    chunk = max(chunk or 10 * size, size)
+    chunk = size * blocks
     ranked = with_rank(df.withColumn("_v", clean_number(F.col(value))), order, by, name="_rank")
     here = F.floor((F.col("_rank") - 1) / chunk)
-    spill = F.floor((F.col("_rank") + size - 2) / chunk)  # last chunk that needs the row
-    spread = ranked.withColumn("_home", here).withColumn(
-        "_chunk", F.explode(F.sequence(here, spill))
+    upto = F.floor((F.col("_rank") + size - 2) / chunk)  # last chunk that needs the row
+    spread = (
+        ranked.withColumn("_home", here)
+        .withColumn("_chunk", F.explode(F.sequence(here, upto)))
+        .withColumn("_block", F.floor((F.col("_rank") - 1) / size))
     )
-    window = (
-        Window.partitionBy(*by, "_chunk").orderBy("_rank").rowsBetween(-(size - 1), Window.currentRow)
+    block = Window.partitionBy(*by, "_chunk", "_block")
+    front = block.orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = block.orderBy(F.col("_rank").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    return (
-        spread.select(
-            *df.columns,
-            "_home",
-            "_chunk",
-            F.avg("_v").over(window).alias("rolling_avg"),
-            F.min("_v").over(window).alias("rolling_min"),
-            F.max("_v").over(window).alias("rolling_max"),
-        )
-        .filter(F.col("_home") == F.col("_chunk"))
-        .drop("_home", "_chunk")
+    row = Window.partitionBy(*by, "_chunk").orderBy("_rank")
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    halves = spread.select(
+        "*",
+        *[f("_v").over(front).alias(f"_f_{n}") for n, f in kinds.items()],
+        *[f("_v").over(back).alias(f"_b_{n}") for n, f in kinds.items()],
+    )
+    # the back part belongs to the window's first row, one block earlier
+    # unless the window is exactly this block
+    whole = F.col("_rank") % size == 0
+    pairs = halves.select(
+        *df.columns,
+        "_rank",
+        "_home",
+        "_chunk",
+        *[f"_f_{n}" for n in kinds],
+        *[
+            F.when(~whole, F.lag(f"_b_{n}", size - 1).over(row)).alias(f"_b_{n}")
+            for n in kinds
+        ],
+    )
+    total = F.col("_f_sum") + F.coalesce(F.col("_b_sum"), F.lit(0.0))
+    return pairs.filter(F.col("_home") == F.col("_chunk")).select(
+        *df.columns,
+        (total / F.least(F.col("_rank"), F.lit(size))).alias("rolling_avg"),
+        F.least("_f_min", "_b_min").alias("rolling_min"),
+        F.greatest("_f_max", "_b_max").alias("rolling_max"),
     )

@@ -54,24 +54,23 @@ def exact_percentiles(
     # 2i+1 is the inside of bracket i; even zones lie between the brackets
     zone = F.when(F.lit(False), -1)
     for i in reversed(range(len(ps))):
-        zone = zone.when(F.col("v") > sketch[2 * i + 1], 2 * i + 2)
-        zone = zone.when(F.col("v") >= sketch[2 * i], 2 * i + 1)
+        zone = zone.when(F.col("v") > F.col("q")[2 * i + 1], 2 * i + 2)
+        zone = zone.when(F.col("v") >= F.col("q")[2 * i], 2 * i + 1)
     zone = zone.otherwise(0)
     inside = F.col("zone") % 2 == 1
     pieces = (
-        rows.withColumn("zone", zone)
+        rows.withColumn("q", sketch)  # one subquery, read by all brackets
+        .withColumn("zone", zone)
         .groupBy("zone", F.when(inside, F.col("v")).alias("at"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    inside_rows = rows.count() * 2 * margin * len(ps)
-    if inside_rows <= _ONE_TASK_ROWS:
+    n = rows.count()
+    if n * 2 * margin * len(ps) <= _ONE_TASK_ROWS:
         everything = Window.partitionBy(F.lit(0)).orderBy("low")
         ordered = pieces.withColumn("end", F.sum("c").over(everything))
     else:
         ordered = running_totals(pieces, {"end": F.col("c")}, ["low"])
-    ordered = ordered.withColumn("start", F.col("end") - F.col("c")).withColumn(
-        "n", pieces.agg(F.sum("c")).scalar()
-    )
+    ordered = ordered.withColumn("start", F.col("end") - F.col("c")).withColumn("n", F.lit(n))
     return ordered.agg(*[_pick(p, kind).alias(percentile_name(p)) for p in ps])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.labels import is_attack
 from packetloom.functions.values import epoch_seconds, ratio
 from packetloom.operators.evaluation import classification_metrics
+from packetloom.operators.features import settled
 from packetloom.operators.ordering import last_n, running_totals, with_rank
 from packetloom.operators.percentiles import LINEAR, RANK, exact_percentiles, percentile_name
 from packetloom.schemas import TARGETS
@@ -76,9 +77,7 @@ def latency_stats(df: DataFrame, value: str) -> DataFrame:
         _zero(F.stddev_pop(value)).alias("std"),
         _zero(F.max(value)).alias("max"),
         F.count(F.lit(1)).alias("samples"),
-    ).select(
-        *[ranks[p].alias(p) for p in ("p50", "p95", "p99")], "mean", "std", "max", "samples"
-    )
+    ).withColumn("_r", ranks).select("_r.*", "mean", "std", "max", "samples")
 
 
 def percentile(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -121,7 +120,7 @@ def request_stats(
     ranks = _recent_ranks(df, duration, (0.5, 0.95, 0.99), keep, list(order or [ts]))
     total = F.count(F.lit(1))
     good = F.count_if(F.col(success))
-    return df.agg(
+    out = df.agg(
         total.alias("total_requests"),
         good.alias("successful_requests"),
         (total - good).alias("failed_requests"),
@@ -130,7 +129,9 @@ def request_stats(
         _zero(F.min(duration)).alias("min_ms"),
         _zero(F.max(duration)).alias("max_ms"),
         _span_seconds(ts).alias("uptime_seconds"),
-    ).select("*", *[ranks[p].alias(f"{p}_ms") for p in ("p50", "p95", "p99")])
+    )
+    ps = [F.col(f"_r.{p}").alias(f"{p}_ms") for p in ("p50", "p95", "p99")]
+    return out.withColumn("_r", ranks).select(*out.columns, *ps)
 
 
 def traffic_stats(
@@ -156,16 +157,17 @@ def traffic_stats(
     attacks = F.coalesce(F.sum(F.when(is_attack(F.col("attack_type")), F.col("count"))), F.lit(0))
     total = F.coalesce(F.sum("count"), F.lit(0))
     pairs = F.array_sort(F.collect_list(F.struct("attack_type", "count")))
-    return counts.agg(
+    out = counts.agg(
         total.alias("total_flows"),
         (total - attacks).alias("normal_flows"),
         attacks.alias("attack_flows"),
         F.map_from_entries(pairs).alias("attack_distribution"),
         F.least(attacks, F.lit(buffer)).alias("pending_alerts"),
-    ).select(
-        "*",
-        newest["avg"].alias("avg_inference_time_ms"),
-        newest["latest"].alias("latest_inference_time_ms"),
+    )
+    return out.withColumn("_n", newest).select(
+        *out.columns,
+        F.col("_n.avg").alias("avg_inference_time_ms"),
+        F.col("_n.latest").alias("latest_inference_time_ms"),
         p95.alias("p95_inference_time_ms"),
     )
 
@@ -217,16 +219,17 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     included."""
     values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
     ends = _as_struct(values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
-    width = (ends["hi"] - ends["lo"]) / F.lit(bins)
-    at = F.coalesce(F.floor(F.try_divide(F.col("v") - ends["lo"], width)), F.lit(0))
-    counts = values.groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+    low, high = F.col("_e.lo"), F.col("_e.hi")
+    width = (high - low) / F.lit(bins)
+    at = F.coalesce(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(0))
+    counts = values.withColumn("_e", ends).groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     # both sides hold at most ``bins`` rows
-    return every.join(counts, "bin", "left").select(
+    return every.join(counts, "bin", "left").withColumn("_e", ends).select(
         "bin",
-        (ends["lo"] + width * F.col("bin")).alias("bin_start"),
+        (low + width * F.col("bin")).alias("bin_start"),
         F.coalesce(F.col("count"), F.lit(0)).alias("count"),
     )
 
@@ -341,6 +344,7 @@ def evaluation_report(
         quality.alias("accuracy_metrics"),
         types.alias("attack_distribution"),
     )
+    out = settled(out, {c: F.col(c) for c in out.columns})
     if memory:
         gauge = _as_struct(gauge_summary(df, memory).select("peak", "mean"))
         out = out.withColumn("memory_metrics", gauge)

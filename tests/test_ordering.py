@@ -78,7 +78,7 @@ def test_large_samples_are_exact_and_repeatable(spark, monkeypatch):
 def test_rolling_stats_across_chunks(spark):
     rows, frame = _skewed(spark, 900)
     got = {r["id"]: (r["rolling_min"], r["rolling_max"], r["rolling_avg"]) for r in O.rolling_stats(
-        frame, "v", ["at", "id"], size=20, by=["client"], chunk=50
+        frame, "v", ["at", "id"], size=20, by=["client"], blocks=3
     ).collect()}
     assert len(got) == 900
     for c in {r[1] for r in rows}:

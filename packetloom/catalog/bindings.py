@@ -35,6 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MODULI = (79, 83, 89, 97, 101, 103, 107, 109)
+
+
+def _events_with_remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the remainders that all 30 features look at."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "*", *[f"event_id % {m} as m{m}" for m in _MODULI]
+    )
+
+
+def _by_remainder(expr: str) -> str:
+    for m in _MODULI:
+        expr = expr.replace(f"event_id % {m} =", f"m{m} =")
+    return expr
+
+
 def dirty_feature(k: int) -> str:
     return (
         f"case when event_id % 97 = {k} then cast('Infinity' as double)"
@@ -81,11 +97,15 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers under raw headers, some with blanks around them, and a stale
     canonical column that the raw one must replace."""
     headers = [
-        f"{dirty_feature(k)} as `{' ' * (k % 3)}{h}{' ' * (k % 2)}`"
+        f"{_by_remainder(dirty_feature(k))} as `{' ' * (k % 3)}{h}{' ' * (k % 2)}`"
         for k, h in enumerate(FEATURE_HEADERS.values())
     ]
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id as flow_id", "ts", f"{RAW_LABEL} as Label", "cast(-5 as double) as flow_duration", *headers
+    return _events_with_remainders(spark, sf_dir).selectExpr(
+        "event_id as flow_id",
+        "ts",
+        f"{RAW_LABEL} as Label",
+        "cast(-5 as double) as flow_duration",
+        *headers,
     )
 
 
@@ -110,17 +130,18 @@ CLEAN_FLOWS_SQL = (
 
 def dirty_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same numbers under canonical names, not yet cleaned."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id as flow_id", *[f"{dirty_feature(k)} as {f}" for k, f in enumerate(FEATURES)]
+    return _events_with_remainders(spark, sf_dir).selectExpr(
+        "event_id as flow_id",
+        *[f"{_by_remainder(dirty_feature(k))} as {f}" for k, f in enumerate(FEATURES)],
     )
 
 
 def text_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything as text, the way a CSV reader delivers it."""
     headers = [
-        f"{text_feature(k)} as `{h}`" for k, h in enumerate(FEATURE_HEADERS.values())
+        f"{_by_remainder(text_feature(k))} as `{h}`" for k, h in enumerate(FEATURE_HEADERS.values())
     ]
-    return table(spark, sf_dir, "events").selectExpr(
+    return _events_with_remainders(spark, sf_dir).selectExpr(
         "cast(event_id as string) as flow_id",
         "case when event_id % 4 = 0 then '' else cast(ts as string) end as Timestamp",
         "case when event_id % 4 = 0 then concat('t', cast(event_id as string)) end as time",

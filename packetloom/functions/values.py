@@ -25,15 +25,18 @@ def clean_number(number: Column, default: float = 0.0) -> Column:
     return F.when(is_finite(number), number).otherwise(F.lit(default))
 
 
-def coerce_double(value: Column, default: float = 0.0) -> Column:
-    """Read text as a finite double, else the default.
+def parse_double(text: Column) -> Column:
+    """Text as a double, NULL when unreadable.
 
     The cast alone would also accept Java spellings such as ``1.5d`` or
     ``0x1p3``; none of these letters occurs in a finite decimal number.
     """
-    text = value.cast("string")
-    number = F.when(~text.rlike("[dDfFxXpP]"), text.try_cast("double"))
-    return clean_number(number, default)
+    return F.when(~text.rlike("[dDfFxXpP]"), text.try_cast("double"))
+
+
+def coerce_double(value: Column, default: float = 0.0) -> Column:
+    """Read text as a finite double, else the default."""
+    return clean_number(parse_double(value.cast("string")), default)
 
 
 def coerce_long(value: Column, default: int = 0) -> Column:

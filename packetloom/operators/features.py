@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.alerts import iso_now
-from packetloom.functions.values import clean_number, coerce_double, coerce_long, sanitize
+from packetloom.functions.values import clean_number, coerce_long, parse_double, sanitize
 from packetloom.schemas import (
     COUNTERS,
     FEATURE_HEADERS,
@@ -70,10 +70,13 @@ class _Columns:
         return None, None
 
 
-def _number(value: Column, kind: T.DataType) -> Column:
+def _parsed(value: Column | None, kind: T.DataType | None) -> Column:
+    """A feature as a double that may still be NULL, NaN or infinite."""
+    if value is None:
+        return F.lit(0.0)
     if isinstance(kind, (T.StringType, T.BooleanType)):
-        return coerce_double(value)
-    return clean_number(value.cast("double"))
+        return parse_double(value.cast("string"))
+    return value.cast("double")
 
 
 def clean_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -101,11 +104,13 @@ def engineer_features(df: DataFrame, keep: Sequence[str] | None = None) -> DataF
     ``keep`` names input columns to carry along in front of the features.
     """
     cols = _Columns(df)
-    features = []
-    for name in FEATURES:
-        value, kind = cols.feature(name)
-        features.append((F.lit(0.0) if value is None else _number(value, kind)).alias(name))
-    return cols.frame.select(*cols.kept(keep), *features)
+    kept = cols.kept(keep)
+    parsed = [_parsed(*cols.feature(f)).alias(f) for f in FEATURES]
+    names = [c for c in keep or () if c in cols]
+    # in two steps, so that a number is parsed once and checked as a column
+    return cols.frame.select(*kept, *parsed).select(
+        *[F.col(f"`{c}`") for c in names], *[clean_number(F.col(f)).alias(f) for f in FEATURES]
+    )
 
 
 def first_present(cols, names: Sequence[str], default: Column | None) -> Column:
@@ -135,19 +140,20 @@ def to_flows(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     identity fields get their defaults. Works on batch and streaming frames.
     """
     cols = _Columns(df)
-    out = []
-    for name, value in _identity(cols).items():
-        if name.endswith("_port"):
-            value = coerce_long(value)
-        out.append(value.alias(name))
+    kept = cols.kept(keep)
+    names = [c for c in keep or () if c in cols]
+    identity = {
+        n: coerce_long(c) if n.endswith("_port") else c for n, c in _identity(cols).items()
+    }
+    parsed = [_parsed(*cols.feature(f)).alias(f) for f in FEATURES]
+    rows = cols.frame.select(*kept, *[c.alias(n) for n, c in identity.items()], *parsed)
+    numbers = []
     for name in FEATURES:
-        value, kind = cols.feature(name)
+        number = clean_number(F.col(name))
         if name in COUNTERS:
-            number = F.lit(0).cast("bigint") if value is None else coerce_long(value)
-        else:
-            number = F.lit(0.0) if value is None else _number(value, kind)
-        out.append(number.alias(name))
-    return cols.frame.select(*cols.kept(keep), *out)
+            number = F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
+        numbers.append(number.alias(name))
+    return rows.select(*[F.col(f"`{c}`") for c in names], *identity, *numbers)
 
 
 def flows_from_json(df: DataFrame, column: str) -> DataFrame:

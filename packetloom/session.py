@@ -20,6 +20,9 @@ def local_session(cores: str = "8", app: str = "packetloom", **conf: str) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # 30 features make long generated methods; beyond this size the JVM
+        # would interpret them, so Spark shall split them instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)

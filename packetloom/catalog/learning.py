@@ -28,7 +28,7 @@ from packetloom.operators.model import (
 from packetloom.operators.validation import validate_features
 from packetloom.plans.detection import detect
 from packetloom.schemas import FEATURES
-from packetloom.session import scratch_path
+from packetloom.session import scratch_path, written
 
 _SMALL = {FOREST: dict(rounds=10, depth=5), BOOSTED: dict(rounds=4, depth=3)}
 
@@ -50,7 +50,7 @@ def flow_model(spark, d, algorithm=FOREST) -> FlowModel:
     rows = validate_features(flows, "valid").withColumn(
         "y", encode_label(map_labels(F.col("Label")))
     )
-    fitted = fit_classifier(rows, "y", FEATURES, algorithm, **_SMALL[algorithm])
+    fitted = fit_classifier(written(rows, "labelled"), "y", FEATURES, algorithm, **_SMALL[algorithm])
     return FlowModel(fitted, algorithm)
 
 

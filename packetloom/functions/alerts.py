@@ -21,12 +21,13 @@ def argmax_index(scores: Column) -> Column:
 
 
 def alert_id(flow_id: Column, ts: Column) -> Column:
-    """An id that a rerun reproduces: no counter, no wall clock."""
+    """An id that a rerun reproduces: no counter, no wall clock. An unreadable
+    time counts as 0."""
     return F.concat(
         F.lit("alert_"),
         flow_id.cast("string"),
         F.lit("_"),
-        F.unix_millis(ts.cast("timestamp")).cast("string"),
+        F.coalesce(F.unix_millis(ts.cast("timestamp")), F.lit(0)).cast("string"),
     )
 
 

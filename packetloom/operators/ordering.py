@@ -10,6 +10,7 @@ total over the (few) bucket sums is added back.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -21,6 +22,8 @@ from packetloom.functions.values import clean_number
 
 _BUCKET = "_order_bucket"
 _EXACT_DOUBLE = 2.0**53
+_HOT_RUN = 4
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 _SMALL_LIMIT = 10_000
 _GROUP_LIMIT = 1_000
 
@@ -28,14 +31,30 @@ _GROUP_LIMIT = 1_000
 def _position(df: DataFrame, name: str) -> Column:
     """An order column as a double that never decreases along the order."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(kind, _TIMES):
         number = F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    elif isinstance(kind, T.StringType):
+        # text sorts by its bytes: the first six as one number
+        head = F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6))
+        number = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     else:
         number = F.col(name).cast("double")
     # NULL sorts first and NaN last, as in an ascending Spark sort
     return F.when(number.isNull(), F.lit(float("-inf"))).otherwise(number)
 
 
+def _hot_values(cuts: Sequence[float], kind: T.DataType) -> dict[float, int]:
+    """Values that fill four buckets or more, and how many they fill.
+
+    Only types whose values a double holds exactly qualify: otherwise equal
+    positions need not be equal values.
+    """
+    if not isinstance(kind, (*_TIMES, T.IntegralType, T.DoubleType, T.FloatType)):
+        return {}
+    runs = Counter(c for c in cuts if abs(c) < _EXACT_DOUBLE)
+    return {c: n for c, n in sorted(runs.items()) if n >= _HOT_RUN}
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -80,9 +99,9 @@ def with_order_bucket(
     buckets = buckets or default_buckets(df)
     first = _position(df, order[0])
     cuts = _quantiles(df, first, buckets)
+    hot = _hot_values(cuts, df.schema[order[0]].dataType)
     if gap:
         cuts = _apart(cuts, gap)
-    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b and abs(a) < _EXACT_DOUBLE})
     edges = list(cuts) + [math.nextafter(h, math.inf) for h in hot]
     splits = _splits(edges)
 
@@ -92,12 +111,13 @@ def with_order_bucket(
     bucket = F.col("_b1").cast("bigint")
     if hot and len(order) > 1:
         second = _position(df, order[1])
-        cuts2 = _quantiles(df.filter(first.isin(hot)), second, buckets)
+        pieces = max(hot.values())
+        cuts2 = _quantiles(df.filter(first.isin(list(hot))), second, pieces)
         out = Bucketizer(
             splits=_splits(cuts2), inputCol="_second", outputCol="_b2", handleInvalid="keep"
         ).transform(out.withColumn("_second", second))
-        sub = F.when(F.col("_first").isin(hot), F.col("_b2").cast("bigint")).otherwise(0)
-        bucket = bucket * (buckets + 2) + sub
+        sub = F.when(F.col("_first").isin(list(hot)), F.col("_b2").cast("bigint")).otherwise(0)
+        bucket = bucket * (pieces + 2) + sub
     return out.withColumn(name, bucket).drop("_first", "_b1", "_second", "_b2")
 
 
@@ -132,7 +152,8 @@ def running_totals(
     match = F.col(_BUCKET) == F.col("_k_bucket")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    # without a key there is one offset row per bucket, a known small number
+    # without a key there is one offset row per bucket: their number follows
+    # from the cut points, not from the rows
     joined = cut.join(offsets if by else F.broadcast(offsets), match)
 
     within = (

@@ -51,6 +51,13 @@ def test_null_and_nan_order(spark):
     assert got == [1, 4, 3, 2]
 
 
+def test_text_order(spark):
+    names = ["", "b", "a", "user_2", "user_10", "é", "zzzzzzzz", "zzzzzzza", None]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r["name"] for r in O.with_rank(frame, ["name"], buckets=8).orderBy("rank").collect()]
+    assert got == [r["name"] for r in frame.orderBy("name").collect()]
+
+
 def test_last_n_per_group_and_overall(spark):
     rows, frame = _skewed(spark)
     got = {r["id"] for r in O.last_n(frame, ["at", "id"], 7, by=["client"]).collect()}

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,7 @@ from packetloom.schemas import ATTRIBUTION, FEATURES
 
 SHAPLEY = "shapley"
 IMPORTANCE = "importance"
+_KEPT_TABLES = 16_384
 
 
 @dataclass
@@ -61,8 +61,7 @@ def _leaves(nodes: dict[int, dict]) -> list[Leaf]:
     return out
 
 
-@functools.lru_cache(maxsize=16_384)
-def _pattern_table(share: tuple[float, ...]) -> np.ndarray:
+def _pattern_table(share: np.ndarray) -> np.ndarray:
     """Shapley values of a unit leaf for every pattern of features in or out
     of their intervals: array (2^d, d)."""
     d = len(share)
@@ -92,6 +91,24 @@ class TreeEnsemble:
         # shared: all classes use the same trees and differ in leaf values
         self.per_class = per_class
         self.shared = shared
+        self._tables: dict[int, np.ndarray] = {}
+
+    def plain(self) -> tuple[list, bool]:
+        """The ensemble as bare arrays, for a broadcast."""
+        return [[astuple(leaf) for leaf in leaves] for leaves in self.per_class], self.shared
+
+    @classmethod
+    def of(cls, plain: tuple[list, bool]) -> TreeEnsemble:
+        per_class, shared = plain
+        return cls([[Leaf(*leaf) for leaf in leaves] for leaves in per_class], shared)
+
+    def _table(self, leaf: Leaf) -> np.ndarray:
+        found = self._tables.get(id(leaf))
+        if found is None:
+            found = _pattern_table(leaf.share)
+            if len(self._tables) < _KEPT_TABLES:
+                self._tables[id(leaf)] = found
+        return found
 
     @property
     def classes(self) -> int:
@@ -116,7 +133,7 @@ class TreeEnsemble:
             part = x[:, leaf.features]
             hit = (part > leaf.low) & (part <= leaf.high)
             code = hit @ (1 << np.arange(d)[::-1])
-            out[:, leaf.features] += value * _pattern_table(tuple(leaf.share))[code]
+            out[:, leaf.features] += value * self._table(leaf)[code]
         return out
 
 
@@ -164,28 +181,33 @@ def load_ensemble(spark: SparkSession, model: FlowModel) -> TreeEnsemble:
     return TreeEnsemble([[leaf for t in trees.values() for leaf in _leaves(t)]], shared=True)
 
 
+def _explained(ensemble: TreeEnsemble, rows: pd.Series, classes: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(rows), dtype=object)
+    known = classes.fillna(-1).astype(int).to_numpy()
+    for c in np.unique(known):
+        if not 0 <= c < ensemble.classes:
+            continue
+        where = np.flatnonzero(known == c)
+        phi = ensemble.attributions(np.stack(rows.iloc[where].to_list()).astype(float), c)
+        base = np.full((len(where), 1), ensemble.base_value(c))
+        for i, values in zip(where, np.hstack([phi, base])):
+            out.iat[i] = values
+    return out
+
+
 def shapley_column(spark: SparkSession, model: FlowModel, features: Column, class_id: Column) -> Column:
     """Per row: the attributions of all features, then the base value.
 
     Rows with a NULL or negative class are not explained. Only the feature
     array and the class travel to Python; the trees are sent once per executor.
     """
-    shared = spark.sparkContext.broadcast(load_ensemble(spark, model))
+    shared = spark.sparkContext.broadcast(load_ensemble(spark, model).plain())
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def explain(rows: pd.Series, classes: pd.Series) -> pd.Series:
-        ensemble = shared.value
-        out = pd.Series([None] * len(rows), dtype=object)
-        known = classes.fillna(-1).astype(int).to_numpy()
-        for c in np.unique(known):
-            if not 0 <= c < ensemble.classes:
-                continue
-            where = np.flatnonzero(known == c)
-            phi = ensemble.attributions(np.stack(rows.iloc[where].to_list()).astype(float), c)
-            base = np.full((len(where), 1), ensemble.base_value(c))
-            for i, values in zip(where, np.hstack([phi, base])):
-                out.iat[i] = values
-        return out
+    def explain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ensemble = TreeEnsemble.of(shared.value)
+        for rows, classes in batches:
+            yield _explained(ensemble, rows, classes)
 
     return explain(features, class_id)
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm import line_crf
+from packetloom.llm.chat_tools import CALLS, link_calls
 from packetloom.llm.decontaminate import mark_windows, n_hit
 from packetloom.llm.licenses import scan_licenses
+from packetloom.llm.line_dedup import with_removed_lines
+from packetloom.llm.mixing import mix, word_count
 from packetloom.llm.pii import BASE_KINDS, with_pii
+from packetloom.llm.quality_rules import judge
 from packetloom.llm.simhash import cluster
 from packetloom.llm.token_files import read_token_files, write_token_files
 from packetloom.session import scratch_path
@@ -87,13 +92,121 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from the marginals of a line model."""
+    docs = _texts(spark, sf_dir)
+    model = line_crf.train(docs, _table(spark, sf_dir, "labels"))
+    scored = line_crf.score(docs, model)
+    return scored.select(
+        "row.doc_id",
+        (line_crf.fold_of(F.col("row.doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by SimHash."""
     return cluster(_texts(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights 1, 2, 3."""
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("h")
+    )
+    mixed = mix(docs, F.col("n"), F.array("source"), ["doc_id", "h"])
+    credit = F.col("credit")[0]
+    return mixed.select(
+        "row.doc_id",
+        "size",
+        credit["source_size"].alias("source_size"),
+        credit["target"].alias("target"),
+        F.col("taken").cast("long").alias("taken"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed quality rules and robust outliers per language and source."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # the written rows need no text
+    return judge(docs, keep=("doc_id", "lang", "source")).select(
+        "row.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "distance",
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier line but for two edits."""
+    return with_removed_lines(_texts(spark, sf_dir)).select(
+        "row.doc_id", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed"
+    )
+
+
+REPLY_SCHEMA = {
+    "type": "object",
+    "required": ["prompt", "words"],
+    "additionalProperties": False,
+    "properties": {
+        "prompt": {"type": "string", "minLength": 1},
+        "words": {"type": "integer", "minimum": 1, "maximum": 60},
+    },
+}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """Tool calls derived from plain conversations: every user turn calls
+    ``reply`` from the call two turns before, and the turn after it answers."""
+
+    def name_of(turn):
+        return F.concat(F.lit("call-"), turn.cast("string"))
+
+    turn, user = F.col("turn"), F.col("role") == "user"
+    arguments = F.to_json(
+        F.struct(word_count(F.col("text")).alias("words"), F.col("text").alias("prompt"))
+    )
+    call = F.struct(
+        name_of(turn).alias("id"),
+        F.lit("reply").alias("name"),
+        arguments.alias("arguments"),
+        F.when(turn >= 2, name_of(turn - 2)).alias("parent"),
+    )
+    return conversations.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(user, F.array(call)).cast(CALLS).alias("calls"),
+        F.when(F.col("role") == "assistant", name_of(turn - 1)).alias("result_of"),
+    )
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with linked, checked and ordered calls as canonical JSON."""
+    messages = with_calls(_table(spark, sf_dir, "conversations"))
+    return link_calls(messages, {"reply": REPLY_SCHEMA})
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_pii, op3_token_files, op4_decontaminate, op6_simhash)
+    for f in (
+        op1_license_scan,
+        op2_pii,
+        op3_token_files,
+        op4_decontaminate,
+        op5_line_quality,
+        op6_simhash,
+        op7_mixing,
+        op8_quality_rules,
+        op9_line_dedup,
+        op10_tool_calls,
+    )
 }
 SQL: dict[str, str] = {}

@@ -210,7 +210,7 @@ def _(spark, d):
     return rounded(flows_from_json(text, "body").drop("timestamp"))
 
 
-def _violations_sql(nonneg, whole) -> str:
+def violations_sql(nonneg, whole) -> str:
     parts = []
     for f in FEATURES:
         case = f"when {f} is null then '{f}:null' when isnan({f}) then '{f}:nan' when isinf({f}) then '{f}:inf'"
@@ -222,31 +222,31 @@ def _violations_sql(nonneg, whole) -> str:
     return f"concat_ws(',', {', '.join(parts)})"
 
 
-def _joined(df):
+def joined(df):
     text = F.transform("violations", lambda v: F.concat_ws(":", v["feature"], v["reason"]))
     return df.select("flow_id", F.array_join(text, ",").alias("violations"))
 
 
 @query(
     "b12_validate_flag",
-    f"with {RAW_FLOWS_SQL} select flow_id, {_violations_sql(NON_NEGATIVE, ())} as violations from flows",
+    f"with {RAW_FLOWS_SQL} select flow_id, {violations_sql(NON_NEGATIVE, ())} as violations from flows",
 )
 def _(spark, d):
-    return _joined(validate_features(dirty_canonical(spark, d), "flag"))
+    return joined(validate_features(dirty_canonical(spark, d), "flag"))
 
 
 @query(
     "b12_validate_quarantine",
-    f"with {RAW_FLOWS_SQL}, v as (select flow_id, {_violations_sql(NON_NEGATIVE, ())} as violations from flows) "
+    f"with {RAW_FLOWS_SQL}, v as (select flow_id, {violations_sql(NON_NEGATIVE, ())} as violations from flows) "
     "select * from v where violations <> ''",
 )
 def _(spark, d):
-    return _joined(validate_features(dirty_canonical(spark, d), "quarantine"))
+    return joined(validate_features(dirty_canonical(spark, d), "quarantine"))
 
 
 @query(
     "b12_valid_rows",
-    f"with {RAW_FLOWS_SQL}, v as (select *, {_violations_sql(NON_NEGATIVE, ())} as violations from flows) "
+    f"with {RAW_FLOWS_SQL}, v as (select *, {violations_sql(NON_NEGATIVE, ())} as violations from flows) "
     f"select flow_id, {_rounded_sql(FEATURES)} from v where violations = ''",
 )
 def _(spark, d):
@@ -255,10 +255,10 @@ def _(spark, d):
 
 @query(
     "b13_validate_requests",
-    f"with {RAW_FLOWS_SQL} select flow_id, {_violations_sql(FEATURES, COUNTERS)} as violations from flows",
+    f"with {RAW_FLOWS_SQL} select flow_id, {violations_sql(FEATURES, COUNTERS)} as violations from flows",
 )
 def _(spark, d):
-    return _joined(validate_requests(dirty_canonical(spark, d), "flag"))
+    return joined(validate_requests(dirty_canonical(spark, d), "flag"))
 
 
 def _ipv4_sql(expr: str) -> str:

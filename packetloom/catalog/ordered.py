@@ -47,6 +47,19 @@ def _(spark, d):
     return O.last_n(events, _EVENT_ORDER, events.count() * 3 // 4 + 10_001)
 
 
+@query(
+    "f1_last_n_text_order",
+    f"with {SCORED_SQL}, a as (select timestamp, concat('alert_', cast(flow_id as string)) as id from scored "
+    "where prediction <> 'Normal') select * from a order by timestamp desc, id desc "
+    "limit (select cast(count(*) * 3 // 4 as bigint) from a)",
+)
+def _(spark, d):
+    alerts = scored_flows(spark, d).filter("prediction <> 'Normal'").select(
+        "timestamp", F.concat(F.lit("alert_"), F.col("flow_id").cast("string")).alias("id")
+    )
+    return O.last_n(alerts, ["timestamp", "id"], alerts.count() * 3 // 4)
+
+
 @query(
     "f1_last_n_per_user",
     "select event_id, user_id, ts from (select *, row_number() over (partition by user_id order by ts desc, "
@@ -196,6 +209,16 @@ def _(spark, d):
     return O.sample_n(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 11_000, seed=7)
 
 
+@query(
+    "g5_sample_repeated_keys",
+    "select user_id, count(*) as n from (select user_id from events order by "
+    "md5(concat('42', cast(user_id as string))) limit 777) group by 1",
+)
+def _(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id")
+    return O.sample_n(events, "user_id", 777).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "h1_union_all",
     f"with {SCORED_SQL} select prediction, count(*) as n from (select * from scored union all select * from scored "
@@ -406,6 +429,31 @@ def _(spark, d):
     return new.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
+@query(
+    "j2_smote_no_class_below_target",
+    "with c as (select label, count(*) as n from embeddings group by 1) "
+    "select label, greatest((select max(n) from c) - n, 0) as added from c where n < (select max(n) from c)",
+)
+def _(spark, d):
+    out = smote(table(spark, d, "embeddings"), "vec_id", "label", "embedding", target=2)
+    made = out.filter("synthetic").groupBy("label")
+    return made.agg(F.count(F.lit(1)).alias("added"))
+
+
+@query(
+    "j1_split_many_classes",
+    "with c as (select o_custkey, count(*) as n from orders group by 1), "
+    "q as (select o_custkey, floor(n * 0.3::double) as q, n * 0.3::double - floor(n * 0.3::double) as r from c), "
+    "x as (select *, row_number() over (order by round(r, 9) desc, o_custkey) as place, "
+    "(select ceil(sum(n) * 0.3::double) - sum(floor(n * 0.3::double)) from c) as missing from q) "
+    "select o_custkey, cast(q + case when place <= missing then 1 else 0 end as bigint) as test_rows from x",
+)
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    split = stratified_split(rows, "o_orderkey", "o_custkey", 0.3, 42)
+    return split.groupBy("o_custkey").agg(F.count_if("is_test").alias("test_rows"))
+
+
 @query(
     "j2_smote_balanced",
     _SMOTE_SQL

@@ -154,7 +154,7 @@ def _(spark, d):
     "e14_confusion_matrix",
     f"with {SCORED_SQL} select y_true, "
     + ", ".join(f"count(*) filter (y_pred = {i}) as pred_{i}" for i in range(5))
-    + " from scored group by 1",
+    + ", count(*) filter (y_pred is null or y_pred not between 0 and 4) as pred_other from scored group by 1",
 )
 def _(spark, d):
     return E.confusion_matrix(scored_flows(spark, d), "y_true", "y_pred")
@@ -195,28 +195,46 @@ def _(spark, d):
 _TRAFFIC_KEEP = 5000
 
 
-@query(
-    "e4_traffic_stats",
-    f"with {SCORED_SQL}, recent as (select * from scored order by ts desc, flow_id desc limit {_TRAFFIC_KEEP}), "
-    "counts as (select prediction, count(*) as n from scored group by 1) "
-    "select cast((select sum(n) from counts) as bigint) as total_flows, "
-    "cast((select sum(n) from counts where prediction = 'Normal') as bigint) as normal_flows, "
-    "cast((select sum(n) from counts where prediction <> 'Normal') as bigint) as attack_flows, "
-    "(select string_agg(concat(prediction, ':', n), ',' order by prediction) from counts) as attack_distribution, "
-    "cast(least((select sum(n) from counts where prediction <> 'Normal'), 1000) as bigint) as pending_alerts, "
-    "(select round(avg(latency_ms), 6) from recent) as avg_inference_time_ms, "
-    "(select arg_max(latency_ms, ts) from recent) as latest_inference_time_ms, "
-    + _rank_sql("recent", "latency_ms", 0.95)
-    + " as p95_inference_time_ms",
-)
-def _(spark, d):
-    stats = S.traffic_stats(scored_flows(spark, d), ["ts", "flow_id"], keep=_TRAFFIC_KEEP)
+def _traffic_sql(recent: str, alerts: str) -> str:
+    return (
+        f"with {SCORED_SQL}, recent as (select * from scored {recent}), "
+        "counts as (select prediction, count(*) as n from scored group by 1) "
+        "select cast((select sum(n) from counts) as bigint) as total_flows, "
+        "cast((select sum(n) from counts where prediction = 'Normal') as bigint) as normal_flows, "
+        "cast((select sum(n) from counts where prediction <> 'Normal') as bigint) as attack_flows, "
+        "(select string_agg(concat(prediction, ':', n), ',' order by prediction) from counts) as attack_distribution, "
+        f"cast({alerts} as bigint) as pending_alerts, "
+        "(select round(avg(latency_ms), 6) from recent) as avg_inference_time_ms, "
+        "(select arg_max(latency_ms, ts) from recent) as latest_inference_time_ms, "
+        + _rank_sql("recent", "latency_ms", 0.95)
+        + " as p95_inference_time_ms"
+    )
+
+
+def _traffic(stats):
     pairs = F.transform(
         F.map_entries("attack_distribution"), lambda e: F.concat_ws(":", e["key"], e["value"])
     )
     return rounded(stats.withColumn("attack_distribution", F.array_join(pairs, ",")))
 
 
+_ATTACKS = "(select sum(n) from counts where prediction <> 'Normal')"
+
+
+@query(
+    "e4_traffic_stats",
+    _traffic_sql(f"order by ts desc, flow_id desc limit {_TRAFFIC_KEEP}", f"least({_ATTACKS}, 1000)"),
+)
+def _(spark, d):
+    order = ["ts", "flow_id"]
+    return _traffic(S.traffic_stats(scored_flows(spark, d), order, keep=_TRAFFIC_KEEP, buffer=1000))
+
+
+@query("e4_traffic_stats_whole_history", _traffic_sql("", _ATTACKS))
+def _(spark, d):
+    return _traffic(S.traffic_stats(scored_flows(spark, d), ["ts", "flow_id"]))
+
+
 def _request_sql(keep: str) -> str:
     return (
         f"with {REQUESTS_SQL}, kept as (select * from requests {keep}) "
@@ -232,9 +250,9 @@ def _request_sql(keep: str) -> str:
     )
 
 
-@query("e5_request_stats", _request_sql("order by ts desc, request_id desc limit 10000"))
+@query("e5_request_stats", _request_sql("order by ts desc, request_id desc limit 700"))
 def _(spark, d):
-    return rounded(S.request_stats(requests(spark, d), order=["ts", "request_id"]))
+    return rounded(S.request_stats(requests(spark, d), keep=700, order=["ts", "request_id"]))
 
 
 @query("e5_request_stats_whole_history", _request_sql(""))

@@ -12,25 +12,29 @@ from pyspark.sql import types as T
 
 from packetloom.operators.evaluation import class_counts
 from packetloom.operators.ordering import (
-    group_values,
     hash_cuts,
     hash_order,
-    literal_lookup,
     with_rank,
 )
+from packetloom.session import written
 
 SMOTE_TARGET = 10_000
 SMOTE_NEIGHBOURS = 5
+_SLOT_PIECE = 10_000
 
 
 def known_classes(df: DataFrame, label: str) -> dict:
-    """Class sizes on the driver; a label column has a small vocabulary."""
-    rows = group_values(class_counts(df.filter(F.col(label).isNotNull()), label))
-    if rows is None:
-        raise ValueError(f"{label} has too many distinct values to be a class label")
+    """Class sizes on the driver: one number per class of a label column."""
+    rows = class_counts(df.filter(F.col(label).isNotNull()), label).collect()
     return {r[label]: r["count"] for r in sorted(rows, key=lambda r: r[label])}
 
 
+def _per_class(df: DataFrame, label: str, values: dict, name: str, kind: str) -> DataFrame:
+    """A table of one value per class."""
+    schema = T.StructType([T.StructField(label, df.schema[label].dataType)]).add(name, kind)
+    return df.sparkSession.createDataFrame(list(values.items()), schema)
+
+
 def split_quotas(sizes: dict, fraction: float) -> dict:
     """Test rows per class: the rounded-down share, and the rows still missing
     to the rounded-up total go to the largest remainders."""
@@ -55,16 +59,13 @@ def stratified_split(
     themselves are then marked in place, without a shuffle.
     """
     quotas = split_quotas(known_classes(df, label), fraction)
-    spark = df.sparkSession
-    kind = df.schema[label].dataType
-    quota = spark.createDataFrame(
-        [(c, q) for c, q in quotas.items() if q],
-        T.StructType([T.StructField(label, kind), T.StructField("quota", T.LongType())]),
+    quota = _per_class(df, label, {c: q for c, q in quotas.items() if q}, "quota", "long")
+    cuts = hash_cuts(df, key, seed, quota, [label]).select(
+        F.col(label).alias("_class"), F.col("cut").alias("_cut")
     )
-    cuts = {r[label]: r["cut"] for r in hash_cuts(df, key, seed, quota, [label]).collect()}
-    cut = literal_lookup(cuts, F.col(label))
-    test = F.coalesce(hash_order(F.col(key), seed) <= cut, F.lit(False))
-    return df.withColumn("is_test", test)
+    marked = df.join(written(cuts, "cuts"), F.col(label) == F.col("_class"), "left")
+    test = F.coalesce(hash_order(F.col(key), seed) <= F.col("_cut"), F.lit(False))
+    return marked.withColumn("is_test", test).drop("_class", "_cut")
 
 
 def _squared_distances(queries: np.ndarray, others: np.ndarray):
@@ -92,21 +93,61 @@ def nearest_in_class(
     nor its output grows with the class.
     """
     sizes = known_classes(df, label)
-    blocks = literal_lookup(
-        {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}, F.col(label)
+    blocks = _per_class(
+        df, label, {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}, "_blocks", "long"
     )
     rows = (
-        df.filter(F.col(label).isNotNull())
-        .select(key, label, F.col(features).cast("array<double>").alias("_x"))
-        .withColumn("_blocks", blocks)
+        df.select(key, label, F.col(features).cast("array<double>").alias("_x"))
+        .join(blocks, label)
         .withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks")))
     )
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
     left = rows.select(key, label, "_x", F.col("_own").alias("_q"), others.alias("_c"))
     right = rows.select(key, label, "_x", F.col("_own").alias("_c"), others.alias("_q"))
+    return _best_of_blocks(left, right, key, label, k)
+
+
+def nearest_in_class_approx(
+    df: DataFrame,
+    key: str,
+    label: str,
+    features: str,
+    k: int = SMOTE_NEIGHBOURS,
+    block_rows: int = 2_000,
+    seed: int = 0,
+) -> DataFrame:
+    """Near rows of the same class, in the columns of ``nearest_in_class``.
+
+    The rows of a class are ordered along a seeded projection and cut into
+    blocks; a row is compared with its own block and the two beside it. So the
+    work follows the class, and the result misses neighbours that lie apart
+    along the projection.
+    """
+    weight = F.transform("_x", lambda _, i: F.pmod(F.xxhash64(i + seed), F.lit(2001)) / 1000.0 - 1.0)
+    products = F.zip_with("_x", weight, lambda x, w: x * w)
+    placed = (
+        df.filter(F.col(label).isNotNull())
+        .select(key, label, F.col(features).cast("array<double>").alias("_x"))
+        .withColumn("_along", F.aggregate(products, F.lit(0.0), lambda a, p: a + p))
+    )
+    ranked = with_rank(placed, ["_along", key], [label], name="_pos")
+    rows = ranked.withColumn("_own", F.floor((F.col("_pos") - 1) / block_rows))
+    beside = F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1))
+    left = rows.select(key, label, "_x", F.col("_own").alias("_q"), beside.alias("_c"))
+    right = rows.select(key, label, "_x", F.col("_own").alias("_c"), beside.alias("_q"))
+    return _best_of_blocks(left, right, key, label, k)
+
+
+def _best_of_blocks(left: DataFrame, right: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """The ``k`` nearest ``right`` rows of every ``left`` row, over the pairs of
+    blocks (label, _q, _c) that both have."""
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
+        for side in (mine, theirs):
+            bad = [x for x in side["_x"] if not np.isfinite(x).all()]
+            if bad:
+                raise ValueError("features must be finite to have neighbours")
         if len(mine) and len(theirs):
             theirs = theirs.sort_values(key, kind="stable")
             ids = theirs[key].to_numpy()
@@ -131,7 +172,7 @@ def nearest_in_class(
         columns = [key, label, "neighbour", "distance"]
         return pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    kind, classes = df.schema[key].dataType, df.schema[label].dataType
+    kind, classes = left.schema[key].dataType, left.schema[label].dataType
     schema = T.StructType(
         [
             T.StructField(key, kind),
@@ -141,17 +182,19 @@ def nearest_in_class(
         ]
     )
     pair = [label, "_q", "_c"]
+    # both sides come from one frame: fresh columns tell them apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(compare, schema)
     window = Window.partitionBy(label, key).orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def smote_plan(sizes: dict, target: int = SMOTE_TARGET, when_empty: str = "skip") -> tuple[dict, int]:
+def smote_plan(sizes: dict, target: int = SMOTE_TARGET, when_empty: str = "auto") -> tuple[dict, int]:
     """New rows per class, and the neighbour count.
 
     Classes with 2 <= rows < min(target, largest class) are filled up to it.
-    When there is none, nothing is added, or, with ``when_empty='auto'``, every
-    class is filled up to the largest one.
+    When there is none, every class is filled up to the largest one, or, with
+    ``when_empty='skip'``, nothing is added.
     """
     if not sizes:
         return {}, 1
@@ -171,6 +214,7 @@ def synthetic_rows(
     extra: dict,
     k: int,
     seed: int = 0,
+    neighbours: str = "exact",
 ) -> DataFrame:
     """``extra[class]`` new rows per class, each on the line between a row and
     one of its ``k`` nearest neighbours: columns label, slot, features.
@@ -182,24 +226,21 @@ def synthetic_rows(
     classes = [c for c in sorted(extra) if extra[c] > 0]
     spark = df.sparkSession
     kind = df.schema[label].dataType
-    rows = df.filter(F.col(label).isin(classes)).select(key, label, features)
-    ids = {c: i for i, c in enumerate(classes)}
-
-    # slots: one range for all classes, cut at the running totals
-    total, at = 0, F.when(F.lit(False), 0)
-    class_of, first = F.when(F.lit(False), F.lit(None)), F.when(F.lit(False), 0)
-    for c in classes:
-        upto = total + extra[c]
-        class_of = class_of.when(F.col("id") < upto, F.lit(c))
-        first = first.when(F.col("id") < upto, total)
-        at = at.when(F.col("id") < upto, sizes[c])
-        total = upto
-    slots = spark.range(total).select(
-        class_of.cast(kind).alias(label),
-        (F.col("id") - first + 1).alias("slot"),
-        at.cast("bigint").alias("_n"),
+    integral = isinstance(kind, T.IntegralType)
+    table = [(c, extra[c], sizes[c], c if integral else i) for i, c in enumerate(classes)]
+    schema = T.StructType([T.StructField(label, kind)])
+    for name in ("_extra", "_n", "_code"):
+        schema = schema.add(name, "long")
+    wanted = spark.createDataFrame(table, schema)
+    rows = df.join(wanted.select(label), label, "left_semi").select(key, label, features)
+    # slots 1.._extra of every class, in pieces, so that a large class is spread
+    pieces = wanted.withColumn(
+        "_first", F.explode(F.expr(f"sequence(1L, _extra, {_SLOT_PIECE}L)"))
+    ).repartition(label, "_first")
+    slots = pieces.withColumn(
+        "slot", F.explode(F.expr(f"sequence(_first, least(_extra, _first + {_SLOT_PIECE - 1}))"))
     )
-    code = literal_lookup(ids, F.col(label)) if not isinstance(kind, T.IntegralType) else F.col(label)
+    code = F.col("_code")
     slots = slots.select(
         label,
         "slot",
@@ -208,7 +249,10 @@ def synthetic_rows(
         (F.pmod(F.col("slot") * 15485863 + code * 32452843 + seed, F.lit(1000)) / 1000.0).alias("_u"),
     )
     numbered = with_rank(rows, [key], [label], name="_pos").withColumn("_at", F.col("_pos") - 1)
-    near = nearest_in_class(rows, key, label, features, k).select(
+    search = {"exact": nearest_in_class, "approximate": nearest_in_class_approx}
+    if neighbours not in search:
+        raise ValueError(f"unknown kind of neighbours: {neighbours}")
+    near = search[neighbours](rows, key, label, features, k).select(
         key, label, F.col("neighbour"), F.col("rank").cast("bigint").alias("_rank")
     )
     other = rows.select(F.col(key).alias("neighbour"), F.col(features).alias("_other"))
@@ -234,17 +278,22 @@ def smote(
     label: str,
     features: str,
     target: int = SMOTE_TARGET,
-    when_empty: str = "skip",
+    when_empty: str = "auto",
     seed: int = 0,
+    neighbours: str = "exact",
 ) -> DataFrame:
-    """The rows (label, features, synthetic) with small classes filled up."""
+    """The rows (label, features, synthetic) with small classes filled up.
+
+    ``neighbours='approximate'`` looks for them in blocks along a projection:
+    work in proportion to a class, for classes too large for all pairs.
+    """
     extra, k = smote_plan(known_classes(df, label), target, when_empty)
     original = df.select(
         label, F.col(features).cast("array<double>").alias(features), F.lit(False).alias("synthetic")
     )
     if not extra:
         return original
-    new = synthetic_rows(df, key, label, features, extra, k, seed)
+    new = synthetic_rows(df, key, label, features, extra, k, seed, neighbours)
     return original.unionByName(
         new.select(label, features, F.lit(True).alias("synthetic"))
     )

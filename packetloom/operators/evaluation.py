@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.labels import decode_label
 from packetloom.functions.values import ratio
-from packetloom.operators.ordering import group_values, literal_lookup
 from packetloom.schemas import LABELS
 
 
@@ -19,9 +17,9 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and percent of every class."""
-    counts = class_counts(df, label)
-    total = counts.agg(F.sum("count").alias("n")).scalar()
-    return counts.withColumn("percent", ratio(F.col("count"), total) * 100)
+    # one row per class reaches the window
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return class_counts(df, label).withColumn("percent", ratio(F.col("count"), total) * 100)
 
 
 def imbalance_ratio(df: DataFrame, label: str) -> DataFrame:
@@ -44,16 +42,10 @@ def class_set(df: DataFrame, *columns: str) -> DataFrame:
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Per row n / (k * n_class), with k the number of classes present.
 
-    Class counts come from one pass over the label column. With a vocabulary
-    of ordinary size they become literals, so the rows are not shuffled.
+    Class counts come from one pass over the label column and are joined back;
+    Spark broadcasts them while they are few.
     """
     counts = class_counts(df, label)
-    known = group_values(counts)
-    if known is not None:
-        n, k = sum(r["count"] for r in known), len(known)
-        weights = {r[label]: n / (k * r["count"]) for r in known}
-        missing = F.lit(weights.pop(None, None)).cast("double")
-        return df.withColumn(name, F.coalesce(literal_lookup(weights, F.col(label)), missing))
     totals = counts.agg(F.struct(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     per_class = counts.select(
         F.col(label).alias("_class"),
@@ -133,19 +125,21 @@ def false_positive_rate(df: DataFrame, y_true: str, y_pred: str, negative=0) ->
     )
 
 
-def classification_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
-    """Scores of all five categories by id, also of those that never occur."""
-    scores = per_class_scores(confusion_counts(df, y_true, y_pred))
-    vocabulary = df.sparkSession.range(len(LABELS)).select(
-        F.col("id").cast("int").alias("class")
+def classification_report(
+    df: DataFrame, y_true: str, y_pred: str, labels: Sequence[str] = LABELS
+) -> DataFrame:
+    """Scores of every category by id: of all in ``labels``, also those that never
+    occur, and of ids beyond them, named by their number."""
+    scores = per_class_scores(confusion_counts(df, y_true, y_pred)).withColumn(
+        "class", F.col("class").cast("int")
     )
-    # five rows on the left, at most one row per class on the right
-    joined = vocabulary.join(
-        scores.withColumn("class", F.col("class").cast("int")), "class", "left"
+    vocabulary = df.sparkSession.createDataFrame(
+        list(enumerate(labels)), "class int, label string"
     )
+    joined = vocabulary.join(scores.filter(F.col("class").isNotNull()), "class", "full")
     return joined.select(
         "class",
-        decode_label(F.col("class")).alias("label"),
+        F.coalesce("label", F.col("class").cast("string")).alias("label"),
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
         F.coalesce(F.col("support"), F.lit(0)).alias("support"),
     )
@@ -154,11 +148,9 @@ def classification_report(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 def confusion_matrix(
     df: DataFrame, y_true: str, y_pred: str, classes: Sequence = tuple(range(len(LABELS)))
 ) -> DataFrame:
-    """Counts with one row per true and one column per predicted class."""
-    return (
-        df.groupBy(F.col(y_true).alias("y_true"))
-        .pivot(y_pred, list(classes))
-        .agg(F.count(F.lit(1)))
-        .na.fill(0)
-        .select("y_true", *[F.col(f"`{c}`").alias(f"pred_{c}") for c in classes])
-    )
+    """Counts with one row per true and one column per predicted class; a
+    prediction outside ``classes`` counts as ``pred_other``."""
+    known = F.col(y_pred).isin(list(classes))
+    counts = [F.count_if(F.col(y_pred) == F.lit(c)).alias(f"pred_{c}") for c in classes]
+    other = F.count_if(~F.coalesce(known, F.lit(False))).alias("pred_other")
+    return df.groupBy(F.col(y_true).alias("y_true")).agg(*counts, other)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import astuple, dataclass
@@ -20,7 +19,6 @@ from packetloom.schemas import ATTRIBUTION, FEATURES
 
 SHAPLEY = "shapley"
 IMPORTANCE = "importance"
-_KEPT_TABLES = 16_384
 
 
 @dataclass
@@ -61,15 +59,12 @@ def _leaves(nodes: dict[int, dict]) -> list[Leaf]:
     return out
 
 
-def _pattern_table(share: np.ndarray) -> np.ndarray:
-    """Shapley values of a unit leaf for every pattern of features in or out
-    of their intervals: array (2^d, d)."""
+def _pattern_values(share: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Shapley values of a unit leaf for the given patterns (rows of 0 and 1) of
+    features in or out of their intervals: array (patterns, d)."""
     d = len(share)
-    inside = np.array(list(itertools.product((0.0, 1.0), repeat=d))).reshape(-1, d)
-    weight = np.array(
-        [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-    )
-    out = np.empty_like(inside)
+    weight = np.array([1.0 / (d * math.comb(d - 1, s)) for s in range(d)])
+    out = np.empty(inside.shape)
     for j in range(d):
         # coefficient s: sum over the coalitions of size s among the others
         poly = np.zeros((len(inside), d))
@@ -91,7 +86,6 @@ class TreeEnsemble:
         # shared: all classes use the same trees and differ in leaf values
         self.per_class = per_class
         self.shared = shared
-        self._tables: dict[int, np.ndarray] = {}
 
     def plain(self) -> tuple[list, bool]:
         """The ensemble as bare arrays, for a broadcast."""
@@ -102,14 +96,6 @@ class TreeEnsemble:
         per_class, shared = plain
         return cls([[Leaf(*leaf) for leaf in leaves] for leaves in per_class], shared)
 
-    def _table(self, leaf: Leaf) -> np.ndarray:
-        found = self._tables.get(id(leaf))
-        if found is None:
-            found = _pattern_table(leaf.share)
-            if len(self._tables) < _KEPT_TABLES:
-                self._tables[id(leaf)] = found
-        return found
-
     @property
     def classes(self) -> int:
         return len(self.per_class[0][0].values) if self.shared else len(self.per_class)
@@ -132,8 +118,10 @@ class TreeEnsemble:
                 continue
             part = x[:, leaf.features]
             hit = (part > leaf.low) & (part <= leaf.high)
-            code = hit @ (1 << np.arange(d)[::-1])
-            out[:, leaf.features] += value * self._table(leaf)[code]
+            # only patterns that occur: at most one per row, however deep the tree
+            patterns, which = np.unique(hit, axis=0, return_inverse=True)
+            each = _pattern_values(leaf.share, patterns.astype(float))
+            out[:, leaf.features] += value * each[which.ravel()]
         return out
 
 

@@ -76,7 +76,7 @@ def fit_classifier(
     depth: int = 8,
     step: float = 0.1,
     row_share: float = 0.8,
-    feature_share: str = "0.8",
+    feature_share: str | None = None,
     seed: int = 42,
     parallelism: int = 5,
 ) -> object:
@@ -85,7 +85,10 @@ def fit_classifier(
     common = dict(featuresCol=_VECTOR, labelCol=label, seed=seed, maxDepth=depth)
     if algorithm == FOREST:
         estimator = RandomForestClassifier(
-            numTrees=rounds, subsamplingRate=row_share, featureSubsetStrategy="auto", **common
+            numTrees=rounds,
+            subsamplingRate=row_share,
+            featureSubsetStrategy=feature_share or "auto",
+            **common,
         )
         if weight:
             estimator = estimator.setWeightCol(weight)
@@ -95,7 +98,7 @@ def fit_classifier(
             maxIter=rounds,
             stepSize=step,
             subsamplingRate=row_share,
-            featureSubsetStrategy=feature_share,
+            featureSubsetStrategy=feature_share or "0.8",
             **common,
         )
         one = OneVsRest(
@@ -113,12 +116,16 @@ class Training:
 
     model: FlowModel
     scored_test: DataFrame
+    #: rows of the source that broke a rule, where the caller checked them
+    rejected: DataFrame | None = None
 
     def metrics(self) -> DataFrame:
         return classification_metrics(self.scored_test, "y_true", "prediction_id")
 
     def report(self) -> DataFrame:
-        return classification_report(self.scored_test, "y_true", "prediction_id")
+        return classification_report(
+            self.scored_test, "y_true", "prediction_id", self.model.labels
+        )
 
 
 def train_classifier(
@@ -186,6 +193,14 @@ def score_flows(
     )
 
 
+def boosted_margins(
+    model: FlowModel, df: DataFrame, features: str | Sequence[str] = FEATURES
+) -> DataFrame:
+    """Add ``margins``: the raw score of every class of a boosted model."""
+    scored, margins = _boosted_margins(model.model, with_vector(df, features))
+    return scored.select(*df.columns, margins.alias("margins"))
+
+
 def _boosted_margins(model: OneVsRestModel, df: DataFrame) -> tuple[DataFrame, Column]:
     margins = []
     for i, one in enumerate(model.models):

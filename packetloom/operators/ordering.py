@@ -2,221 +2,159 @@
 never bring a whole order, or a whole group, into one task.
 
 A window over an order without a partition key, or over a key that holds a
-third of the table, runs in one task. Here the order is cut into buckets that
-hold similar numbers of rows; each bucket is summed on its own and the running
-total over the (few) bucket sums is added back.
+third of the table, runs in one task. Here rows are range-partitioned along the
+order and written; each partition is summed on its own and the running total
+over the (few) partition sums is added back. Ranges are sampled from the full
+order columns, of any type, so text that shares a beginning, or a first column
+with few values, is spread like anything else; rows that are equal in all order
+columns are spread by an arbitrary last column.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from packetloom.functions.values import clean_number
+from packetloom.session import written
 
 _BUCKET = "_order_bucket"
-_EXACT_DOUBLE = 2.0**53
-_HOT_RUN = 4
-_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-_SMALL_LIMIT = 10_000
-_GROUP_LIMIT = 1_000
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """An order column as a double that never decreases along the order."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, _TIMES):
-        number = F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    elif isinstance(kind, T.StringType):
-        # text sorts by its bytes: the first six as one number
-        head = F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6))
-        number = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    else:
-        number = F.col(name).cast("double")
-    # NULL sorts first and NaN last, as in an ascending Spark sort
-    return F.when(number.isNull(), F.lit(float("-inf"))).otherwise(number)
-
-
-def _hot_values(cuts: Sequence[float], kind: T.DataType) -> dict[float, int]:
-    """Values that fill four buckets or more, and how many they fill.
-
-    Only types whose values a double holds exactly qualify: otherwise equal
-    positions need not be equal values.
-    """
-    if not isinstance(kind, (*_TIMES, T.IntegralType, T.DoubleType, T.FloatType)):
-        return {}
-    runs = Counter(c for c in cuts if abs(c) < _EXACT_DOUBLE)
-    return {c: n for c, n in sorted(runs.items()) if n >= _HOT_RUN}
+_TIE = "_order_tie"
+#: rows of the last hash slice, which one task sorts
+_SLICE_ROWS = 10_000
+_SLICE_DIGITS = 3
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _quantiles(df: DataFrame, position: Column, buckets: int) -> list[float]:
-    """``buckets - 1`` cut points from a mergeable sketch; one row comes back."""
-    steps = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 10 * buckets)
-    finite = df.select(position.alias("p")).filter(~F.isnan("p"))
-    row = finite.agg(F.percentile_approx("p", steps, accuracy).alias("q")).first()
-    return sorted(row["q"] or [])
-
-
-def _splits(cuts: Sequence[float]) -> list[float]:
-    inner = sorted({c for c in cuts if math.isfinite(c)})
-    return [float("-inf"), *inner, float("inf")]
-
-
-def _apart(cuts: Sequence[float], gap: float) -> list[float]:
-    """The cut points that lie at least ``gap`` after the one before."""
-    kept: list[float] = []
-    for cut in cuts:
-        if not kept or cut - kept[-1] >= gap:
-            kept.append(cut)
-    return kept
-
-
 def with_order_bucket(
     df: DataFrame,
     order: Sequence[str],
     buckets: int | None = None,
     name: str = _BUCKET,
-    gap: float = 0.0,
+    descending: bool = False,
 ) -> DataFrame:
-    """Add a bucket number that never decreases along ``order`` (ascending).
+    """The rows with a bucket number that never decreases along ``order``, and a
+    tie-break for rows that are equal in it. Written, so that both stay."""
+    keys = [*[F.col(c).desc() if descending else F.col(c).asc() for c in order], F.col(_TIE)]
+    spread = df.withColumn(_TIE, F.monotonically_increasing_id()).repartitionByRange(
+        buckets or default_buckets(df), *keys
+    )
+    return written(spread.withColumn(name, F.spark_partition_id().cast("bigint")), "ordered")
 
-    Cut points are quantiles of the first order column. A value that holds
-    more than a bucket's share of the rows gets a bucket of its own, which is
-    then cut along the second order column. ``gap`` is the least width of a
-    bucket.
-    """
-    buckets = buckets or default_buckets(df)
-    first = _position(df, order[0])
-    cuts = _quantiles(df, first, buckets)
-    hot = _hot_values(cuts, df.schema[order[0]].dataType)
-    if gap:
-        cuts = _apart(cuts, gap)
-    edges = list(cuts) + [math.nextafter(h, math.inf) for h in hot]
-    splits = _splits(edges)
-
-    out = Bucketizer(
-        splits=splits, inputCol="_first", outputCol="_b1", handleInvalid="keep"
-    ).transform(df.withColumn("_first", first))
-    bucket = F.col("_b1").cast("bigint")
-    if hot and len(order) > 1:
-        second = _position(df, order[1])
-        pieces = max(hot.values())
-        cuts2 = _quantiles(df.filter(first.isin(list(hot))), second, pieces)
-        out = Bucketizer(
-            splits=_splits(cuts2), inputCol="_second", outputCol="_b2", handleInvalid="keep"
-        ).transform(out.withColumn("_second", second))
-        sub = F.when(F.col("_first").isin(list(hot)), F.col("_b2").cast("bigint")).otherwise(0)
-        bucket = bucket * (pieces + 2) + sub
-    return out.withColumn(name, bucket).drop("_first", "_b1", "_second", "_b2")
 
+def _same(keys: Sequence[str], others: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for a, b in zip(keys, others):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
-def running_totals(
-    df: DataFrame,
-    sums: Mapping[str, Column],
-    order: Sequence[str],
-    by: Sequence[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """Add running sums along ``order`` (a unique ascending key) within ``by``.
-
-    The input is read three times (cut points, bucket sums, result), so write
-    it out first when it is costly to compute.
-    """
-    by = list(by)
-    cut = with_order_bucket(df, order, buckets)
-    for name, value in sums.items():
-        cut = cut.withColumn(f"_v_{name}", value)
 
-    parts = cut.groupBy(*by, _BUCKET).agg(
-        *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums]
-    )
+def _running(
+    cut: DataFrame, sums: Sequence[str], keys: Sequence[Column], by: Sequence[str]
+) -> DataFrame:
+    """Running ``_v_x`` as ``_t_x`` over bucketed rows ordered by ``by``, then
+    ``keys``."""
+    parts = cut.groupBy(*by, _BUCKET).agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
     # at most one row per bucket and key reaches a task of this window
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         *[F.col(c).alias(f"_k_{c}") for c in by],
         F.col(_BUCKET).alias("_k_bucket"),
-        *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    match = F.col(_BUCKET) == F.col("_k_bucket")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    # without a key there is one offset row per bucket: their number follows
-    # from the cut points, not from the rows
-    joined = cut.join(offsets if by else F.broadcast(offsets), match)
-
+        *[F.sum(f"_p_{n}").over(before).alias(f"_o_{n}") for n in sums],
+    ).filter(" or ".join(f"`_o_{n}` is not null" for n in sums))
+    # only the first key of a bucket can have begun in an earlier one: there
+    # are no more offsets than buckets
+    match = (F.col(_BUCKET) == F.col("_k_bucket")) & _same(by, [f"_k_{c}" for c in by])
+    joined = cut.join(F.broadcast(offsets), match, "left")
     within = (
         Window.partitionBy(*by, _BUCKET)
-        .orderBy(*order)
+        .orderBy(*keys)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return joined.select(
-        *df.columns,
-        *[
-            (F.sum(f"_v_{n}").over(within) + F.col(f"_o_{n}")).alias(n)
+    return joined.withColumns(
+        {
+            f"_t_{n}": F.sum(f"_v_{n}").over(within) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))
             for n in sums
-        ],
+        }
     )
 
 
+def running_totals(
+    df: DataFrame,
+    sums: Mapping[str, Column],
+    order: Sequence[str],
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    descending: bool = False,
+) -> DataFrame:
+    """Add running sums along ``order`` (a unique key) within ``by``.
+
+    The rows are shuffled by range and written once.
+    """
+    by, order = list(by), list(order)
+    valued = df.withColumns({f"_v_{n}": v for n, v in sums.items()})
+    # groups first: each lies in neighbouring buckets
+    if descending:
+        cut = with_order_bucket(valued, [*by, *order], buckets, descending=True)
+        keys = [F.col(c).desc() for c in order]
+    else:
+        cut = with_order_bucket(valued, [*by, *order], buckets)
+        keys = [F.col(c).asc() for c in order]
+    out = _running(cut, list(sums), [*keys, F.col(_TIE)], by)
+    return out.select(*df.columns, *[F.col(f"_t_{n}").alias(n) for n in sums])
+
+
 def with_rank(
     df: DataFrame,
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "rank",
     buckets: int | None = None,
+    descending: bool = False,
 ) -> DataFrame:
     """Exact 1-based row number along ``order`` within ``by``."""
-    return running_totals(df, {name: F.lit(1).cast("bigint")}, order, by, buckets)
+    one = F.lit(1).cast("bigint")
+    return running_totals(df, {name: one}, order, by, buckets, descending)
 
 
-def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows of an order."""
+def _leading(df: DataFrame, order: Sequence[str], n: int, descending: bool) -> DataFrame:
+    """The first ``n`` rows: whole buckets, and a part of one."""
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= _SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
-    return with_rank(df, order, name="_rank").filter(F.col("_rank") <= n).drop("_rank")
+    cut = with_order_bucket(df, order, descending=descending)
+    whole, left = -1, n
+    for row in sorted(cut.groupBy(_BUCKET).count().collect()):  # a row per bucket
+        if row["count"] > left:
+            break
+        whole, left = row[_BUCKET], left - row["count"]
+    inside = cut.filter(F.col(_BUCKET) <= whole)
+    following = cut.filter(F.col(_BUCKET) > whole)
+    edge = following.filter(F.col(_BUCKET) == following.agg(F.min(_BUCKET)).scalar())
+    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    window = Window.partitionBy(_BUCKET).orderBy(*keys, _TIE)
+    part = edge.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= left)
+    return inside.unionByName(part.drop("_rn")).select(*df.columns)
 
 
-def last_n(
-    df: DataFrame,
-    order: Sequence[str],
-    n: int,
-    by: Sequence[str] = (),
-    salts: int | None = None,
-) -> DataFrame:
+def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of an order."""
+    return _leading(df, order, n, descending=False)
+
+
+def last_n(df: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
     """The newest ``n`` rows, of the table or of every ``by`` group."""
     if n < 0:
         raise ValueError("n must not be negative")
-    newest = [F.col(c).desc() for c in order]
-    if by:
-        # two rounds: each salted piece of a group keeps at most n rows, so a
-        # group of any size reaches the last round with at most salts * n rows
-        salts = salts or default_buckets(df)
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-        for keys in ([*by, "_salt"], list(by)):
-            window = Window.partitionBy(*keys).orderBy(*newest)
-            salted = salted.withColumn("_rn", F.row_number().over(window)).filter(
-                F.col("_rn") <= n
-            )
-        return salted.drop("_rn", "_salt")
-    if n <= _SMALL_LIMIT:
-        return df.orderBy(*newest).limit(n)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = with_rank(df, order, name="_rank")
-    return ranked.filter(F.col("_rank") > total - F.lit(n)).drop("_rank")
+    if not by:
+        return _leading(df, order, n, descending=True)
+    ranked = with_rank(df, order, by, name="_rank", descending=True)
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
 def every_nth(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -243,46 +181,68 @@ def hash_cuts(
     quota: DataFrame,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """The hash up to which each group fills its ``quota`` (columns: by, quota).
+    """The hash up to which each group fills its ``quota`` (columns: by, quota):
+    columns by, ``cut`` and ``left``, the rows still missing at the cut itself
+    (more may share it when keys repeat).
 
-    Rows fall into 65,536 equal slices by the head of their hash. Slices are
-    counted, and only the one slice per group in which the quota runs out is
-    sorted. Groups with a zero quota are absent from the result.
+    Rows are counted by the leading digits of their hash; only the slice in
+    which a group's quota runs out is counted by further digits, until it is
+    small, and then sorted. Groups with a zero quota are absent.
     """
     by = list(by)
-    hashed = df.select(*by, hash_order(F.col(key), seed).alias("_h")).withColumn(
-        "_slice", F.substring("_h", 1, 4)
+    hashed = df.select(*by, hash_order(F.col(key), seed).alias("_h"))
+    names = [f"_g_{c}" for c in by]
+    state = quota.filter("quota > 0").select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)],
+        F.lit("").alias("_head"),
+        F.col("quota").cast("bigint").alias("_left"),
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    slices = (
-        hashed.groupBy(*by, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_slice")))
+    digits = 0
+    while True:
+        inside = hashed.join(state, _same(by, names) & F.col("_h").startswith(F.col("_head")))
+        digits = min(32, digits + _SLICE_DIGITS)
+        slices = (
+            inside.groupBy(*by, "_left", F.substring("_h", 1, digits).alias("_slice"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(group.orderBy("_slice")))
+        )
+        state = written(
+            slices.filter("_upto >= _left and _upto - _n < _left").select(
+                *[F.col(c).alias(n) for c, n in zip(by, names)],
+                F.col("_slice").alias("_head"),
+                (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"),
+                "_n",
+            ),
+            "slices",
+        )
+        largest = state.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= _SLICE_ROWS or digits == 32:
+            break
+        state = state.drop("_n")
+    inside = hashed.join(
+        state.drop("_n"), _same(by, names) & F.col("_h").startswith(F.col("_head"))
     )
-    if by:
-        slices = slices.join(quota, by)
-    else:
-        slices = slices.withColumn("quota", quota.select("quota").scalar())
-    last = slices.filter(
-        (F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota"))
-    ).select(*by, "_slice", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_left"))
-    return (
-        hashed.join(last, [*by, "_slice"])
-        .withColumn("_rn", F.row_number().over(group.orderBy("_h")))
-        .filter(F.col("_rn") == F.col("_left"))
-        .select(*by, F.col("_h").alias("cut"))
+    counts = inside.groupBy(*by, "_left", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(group.orderBy("_h")))
+    return upto.filter("_upto >= _left and _upto - _n < _left").select(
+        *by, F.col("_h").alias("cut"), (F.col("_left") - F.col("_upto") + F.col("_n")).alias("left")
     )
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows, the same ones on every run."""
+    """Exactly min(n, rows) rows, the same ones on every run; of rows that share
+    the last key, the first by their other columns."""
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= _SMALL_LIMIT:
-        return df.orderBy(hash_order(F.col(key), seed)).limit(n)
     quota = df.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
-    cut = hash_cuts(df, key, seed, quota).select("cut").scalar()
-    return df.filter(hash_order(F.col(key), seed) <= cut)
+    row = hash_cuts(df, key, seed, quota).first()
+    if row is None:
+        return df.limit(0)
+    below = hash_order(F.col(key), seed) < row["cut"]
+    at = df.filter(hash_order(F.col(key), seed) == row["cut"])
+    tied = at.withColumn("_order", F.xxhash64(*df.columns))
+    return df.filter(below).unionByName(first_n(tied, ["_order"], row["left"]).drop("_order"))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -290,21 +250,6 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed))
 
 
-def group_values(df: DataFrame, limit: int = _GROUP_LIMIT) -> list | None:
-    """Rows of a per-group frame on the driver, or None when there are more
-    groups than ``limit`` (the caller then joins instead)."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
-def literal_lookup(pairs: Mapping, key: Column) -> Column:
-    """A small driver-side mapping as an expression; NULL where absent."""
-    if not pairs:
-        return F.lit(None)
-    items = [F.lit(x) for pair in pairs.items() for x in pair]
-    return F.try_element_at(F.create_map(*items), key)
-
-
 def rolling_stats(
     df: DataFrame,
     value: str,

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators.ordering import running_totals
 
 LINEAR = "linear"  # interpolate between the two nearest ranks
 RANK = "rank"  # the element at floor(n * p), 0-based, at most the last
-_ONE_TASK_ROWS = 20_000_000
 
 
 def percentile_name(p: float) -> str:
@@ -42,14 +41,18 @@ def exact_percentiles(
 
     A sketch first gives a bracket around every percentile, some rows wide per
     ``accuracy`` rows. Outside the brackets rows are only counted; inside them
-    equal values are merged, and just these few values are ordered: by one task
-    while they are few, else in buckets.
+    equal values are merged, and just these few values are ordered, in buckets.
+    Two passes over the rows; the first one gives the sketch and the count.
     """
     ps = sorted(ps)
     rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
     margin = 2.0 / accuracy
     edges = [e for p in ps for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.agg(F.percentile_approx("v", edges, accuracy).alias("q")).scalar()
+    first = rows.agg(
+        F.percentile_approx("v", edges, accuracy).alias("q"), F.count(F.lit(1)).alias("n")
+    ).first()
+    n = first["n"]
+    cuts = F.lit(first["q"] or [0.0] * len(edges)).cast("array<double>")
 
     # 2i+1 is the inside of bracket i; even zones lie between the brackets
     zone = F.when(F.lit(False), -1)
@@ -59,17 +62,12 @@ def exact_percentiles(
     zone = zone.otherwise(0)
     inside = F.col("zone") % 2 == 1
     pieces = (
-        rows.withColumn("q", sketch)  # one subquery, read by all brackets
+        rows.withColumn("q", cuts)
         .withColumn("zone", zone)
         .groupBy("zone", F.when(inside, F.col("v")).alias("at"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    n = rows.count()
-    if n * 2 * margin * len(ps) <= _ONE_TASK_ROWS:
-        everything = Window.partitionBy(F.lit(0)).orderBy("low")
-        ordered = pieces.withColumn("end", F.sum("c").over(everything))
-    else:
-        ordered = running_totals(pieces, {"end": F.col("c")}, ["low"])
+    ordered = running_totals(pieces, {"end": F.col("c")}, ["low"])
     ordered = ordered.withColumn("start", F.col("end") - F.col("c")).withColumn("n", F.lit(n))
     return ordered.agg(*[_pick(p, kind).alias(percentile_name(p)) for p in ps])
 

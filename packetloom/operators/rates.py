@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.values import ratio
-from packetloom.operators.ordering import with_order_bucket, with_rank
+from packetloom.operators.ordering import with_rank
 from packetloom.operators.percentiles import RANK, grouped_percentiles
+from packetloom.session import written
 
 
 def windowed_metrics(
@@ -60,6 +61,7 @@ def tumbling_rate_flags(
 
 
 Group = dict[str, np.ndarray]
+_CHUNK_WINDOWS = 10
 
 
 def _joined(parts: list[Group]) -> Group:
@@ -208,8 +210,13 @@ def anchored_rate_flags(
     timed = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(
         "us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
-    chunked = with_order_bucket(timed, ["us"], buckets, name="_chunk", gap=10.0 * width)
-    ranked = with_rank(chunked, order, [key], name="_rank", buckets=buckets)
+    # one cut of the order gives the ranks; chunks are stretches of time
+    ranked = written(
+        with_rank(timed, order, [key], name="_rank", buckets=buckets).withColumn(
+            "_chunk", F.floor(F.col("us") / (_CHUNK_WINDOWS * width))
+        ),
+        "ranked",
+    )
     instants = ranked.groupBy(key, "_chunk", "us").agg(F.min("_rank").alias("first"))
 
     field = f"`{key}` {df.schema[key].dataType.simpleString()}"

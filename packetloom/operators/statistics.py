@@ -16,6 +16,7 @@ from packetloom.operators.ordering import last_n, running_totals, with_rank
 from packetloom.operators.percentiles import LINEAR, RANK, exact_percentiles, percentile_name
 from packetloom.schemas import TARGETS
 
+#: sizes of the history buffers of a serving process, for ``keep`` and ``buffer``
 KEPT_SAMPLES = 10_000
 ALERT_BUFFER = 1_000
 
@@ -109,13 +110,12 @@ def request_stats(
     ts: str = "ts",
     duration: str = "duration_ms",
     success: str = "success",
-    keep: int | None = KEPT_SAMPLES,
+    keep: int | None = None,
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Serving metrics in one row.
 
-    Rank percentiles cover the newest ``keep`` requests (None: all requests);
-    counts, mean, min and max always cover all of them.
+    Rank percentiles cover all requests, or the newest ``keep`` if given; counts, mean, min and max always cover all of them.
     """
     ranks = _recent_ranks(df, duration, (0.5, 0.95, 0.99), keep, list(order or [ts]))
     total = F.count(F.lit(1))
@@ -139,14 +139,16 @@ def traffic_stats(
     order: Sequence[str],
     prediction: str = "prediction",
     latency: str = "latency_ms",
-    keep: int = KEPT_SAMPLES,
-    buffer: int = ALERT_BUFFER,
+    keep: int | None = None,
+    buffer: int | None = None,
 ) -> DataFrame:
     """Pipeline statistics in one row: totals over the table, latency figures
-    over the newest ``keep`` rows, distribution with Normal."""
+    over all rows or the newest ``keep``, distribution with Normal. A buffer of
+    pending alerts holds at most ``buffer`` of them, if given."""
     counts = attack_distribution(df, prediction)
-    recent = last_n(df.select(*order, latency), order, keep)
-    # one extra group-less aggregate over at most ``keep`` rows
+    recent = df.select(*order, latency)
+    if keep is not None:
+        recent = last_n(recent, order, keep)
     newest = _as_struct(
         recent.agg(
             _zero(F.avg(latency)).alias("avg"),
@@ -162,7 +164,7 @@ def traffic_stats(
         (total - attacks).alias("normal_flows"),
         attacks.alias("attack_flows"),
         F.map_from_entries(pairs).alias("attack_distribution"),
-        F.least(attacks, F.lit(buffer)).alias("pending_alerts"),
+        (attacks if buffer is None else F.least(attacks, F.lit(buffer))).alias("pending_alerts"),
     )
     return out.withColumn("_n", newest).select(
         *out.columns,

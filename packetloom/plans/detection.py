@@ -46,7 +46,9 @@ class Detection:
         )
         return explained.select(
             "timestamp",
-            F.lit(None).cast("double").alias("latency_ms"),
+            (F.col("latency_ms") if "latency_ms" in explained.columns else F.lit(None))
+            .cast("double")
+            .alias("latency_ms"),
             feature_map().alias("flow_features"),
             "src_ip",
             "dst_ip",
@@ -62,11 +64,13 @@ def detect(
     time_formats: Sequence[str] = (),
 ) -> Detection:
     """Read, check and score flows. Broken rows end up in ``rejected``."""
+    if "flow_id" not in [c.strip() for c in rows.columns]:
+        # no id in the input: one from all that the row holds; never the clock,
+        # which a repeated task would read anew
+        named = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+        rows = rows.withColumn("flow_id", F.abs(F.xxhash64(named)))
+        keep = [*keep, *(["flow_id"] if "flow_id" not in keep else [])]
     flows = parse_event_time(to_flows(rows, keep=keep), time_formats)
-    if "flow_id" not in flows.columns:
-        # no id in the input: derive one from the identity of the flow
-        parts = ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol")
-        flows = flows.withColumn("flow_id", F.abs(F.xxhash64(*parts, "flow_duration")))
     return Detection(
         scored=score_flows(model, validate_features(flows, "valid")),
         rejected=validate_features(flows, "quarantine"),

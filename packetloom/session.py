@@ -34,11 +34,14 @@ def local_session(cores: str = "8", app: str = "packetloom", **conf: str) -> Spa
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only when the
-    setting is absent (a bare local session) a temporary folder is used.
+    The cluster names that folder in ``spark.checkpoint.dir``. Without the
+    setting a session on one machine gets a temporary folder; on a cluster no
+    folder could be guessed that all executors see, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "packetloom", f"{name}-{uuid.uuid4().hex}")

@@ -52,11 +52,12 @@ def read_flow_stream(
 ) -> DataFrame:
     """New CSV files of a folder as a stream of text rows.
 
-    Without a schema the header of a file already present is taken. Columns
-    are then matched by position, so all files need that header.
+    Without a schema the header of a file already present is taken. Spark fills
+    columns by position; every file's header is compared with the schema, and a
+    file with other columns, or another order, fails the query.
     """
     schema = schema or text_schema(spark, path)
-    reader = spark.readStream.schema(schema).option("header", True)
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.csv(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.operators import explain as X
 from packetloom.operators.balance import (
     nearest_in_class,
+    nearest_in_class_approx,
     smote,
     smote_plan,
     split_quotas,
@@ -81,8 +82,8 @@ def test_split_is_exhaustive_and_stratified(flows):
 def test_smote_plan():
     assert smote_plan({0: 100, 1: 10, 2: 1}) == ({1: 90}, 1)
     assert smote_plan({0: 100, 1: 10, 2: 6}, target=50) == ({1: 40, 2: 44}, 5)
-    assert smote_plan({0: 20, 1: 30}, target=15)[0] == {}
-    assert smote_plan({0: 20, 1: 30}, target=15, when_empty="auto")[0] == {0: 10}
+    assert smote_plan({0: 20, 1: 30}, target=15)[0] == {0: 10}
+    assert smote_plan({0: 20, 1: 30}, target=15, when_empty="skip")[0] == {}
 
 
 def test_neighbours_against_all_pairs(spark):
@@ -100,6 +101,18 @@ def test_neighbours_against_all_pairs(spark):
         assert [got[(i, r)] for r in (1, 2, 3)] == best
 
 
+def test_approximate_neighbours_are_mostly_right(spark):
+    rng = np.random.default_rng(2)
+    frame = spark.createDataFrame(
+        [(i, i % 2, [float(v) for v in rng.normal(size=2)]) for i in range(400)],
+        "id long, c int, x array<double>",
+    )
+    exact = {(r["id"], r["neighbour"]) for r in nearest_in_class(frame, "id", "c", "x", 3).collect()}
+    near = nearest_in_class_approx(frame, "id", "c", "x", 3, block_rows=40).collect()
+    assert len(near) == 1200
+    assert len(exact & {(r["id"], r["neighbour"]) for r in near}) > 0.7 * len(exact)
+
+
 def test_smote_rows_lie_between_rows_of_their_class(flows):
     rows = flows.select("flow_id", "y", F.array("flow_packets_per_sec", "down_up_ratio").alias("x"))
     out = smote(rows, "flow_id", "y", "x")
@@ -256,6 +269,7 @@ def test_csv_to_alerts(spark, flows, tmp_path):
     assert loaded.feature_names == list(FEATURES)
     result = evaluate_csv(spark, loaded, path)
     assert result["metrics"].first()["accuracy"] > 0.9
+    assert result["rejected"].count() == 0 and training.rejected.count() == 0
     found = detect(spark.read.csv(path, header=True), loaded)
     alerts = found.alerts()
     assert alerts.columns == [

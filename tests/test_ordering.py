@@ -71,17 +71,42 @@ def test_last_n_per_group_and_overall(spark):
     assert O.last_n(frame, ["at", "id"], 0).count() == 0
 
 
-def test_large_samples_are_exact_and_repeatable(spark, monkeypatch):
+def test_samples_are_exact_and_repeatable(spark, monkeypatch):
     _, frame = _skewed(spark)
-    small = {r["id"] for r in O.sample_n(frame, "id", 1234).collect()}
-    monkeypatch.setattr(O, "_SMALL_LIMIT", 10)
-    large = {r["id"] for r in O.sample_n(frame, "id", 1234).collect()}
-    assert small == large and len(large) == 1234
+    one = {r["id"] for r in O.sample_n(frame, "id", 1234).collect()}
+    monkeypatch.setattr(O, "_SLICE_ROWS", 2)  # further digits
+    again = {r["id"] for r in O.sample_n(frame.repartition(7), "id", 1234).collect()}
+    assert one == again and len(one) == 1234
     assert O.sample_n(frame, "id", 99_999).count() == 4000
     assert O.first_n(frame, ["at", "id"], 50).count() == 50
     assert [r["id"] for r in O.shuffled(frame, "id").limit(3).collect()] != [0, 1, 2]
 
 
+def test_sample_of_repeated_keys_is_exact(spark):
+    _, frame = _skewed(spark)
+    for n in (0, 1, 100, 1500, 3999):
+        assert O.sample_n(frame, "client", n).count() == n
+    one = spark.createDataFrame([(1, "x")] * 50, "id long, t string")
+    assert O.sample_n(one, "id", 7).count() == 7
+
+
+def test_first_rows_with_ties_and_nulls(spark):
+    frame = spark.createDataFrame([(None,)] * 5 + [(1,)] * 40 + [(2,)] * 5, "x int").repartition(3)
+    assert [r["x"] for r in O.first_n(frame, ["x"], 30).orderBy("x").collect()] == [None] * 5 + [1] * 25
+    assert [r["x"] for r in O.last_n(frame, ["x"], 7).orderBy("x").collect()] == [1, 1] + [2] * 5
+
+
+@pytest.mark.parametrize("kind", ["time", "alert"])
+def test_long_common_beginnings_are_spread(spark, kind):
+    text = F.concat(F.lit("2024-01-01T00:00:00."), F.lpad("id", 6, "0"))
+    if kind == "alert":
+        text = F.concat(F.lit("alert_"), F.md5(F.col("id").cast("string")))
+    frame = spark.range(8000).select(text.alias("t"), F.lit(1).alias("same"), "id")
+    for order in (["t"], ["same", "t"]):
+        sizes = O.with_order_bucket(frame, order, 64).groupBy("_order_bucket").count().collect()
+        assert max(r["count"] for r in sizes) <= 2 * 8000 / 64
+
+
 def test_rolling_stats_across_chunks(spark):
     rows, frame = _skewed(spark, 900)
     got = {r["id"]: (r["rolling_min"], r["rolling_max"], r["rolling_avg"]) for r in O.rolling_stats(

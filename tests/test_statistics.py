@@ -61,15 +61,13 @@ def test_percentiles_equal_numpy(spark, values, ps):
         assert rank[i] == ordered[min(int(len(values) * p), len(values) - 1)]
 
 
-def test_percentiles_of_many_values_with_coarse_sketch(spark, monkeypatch):
+def test_percentiles_of_many_values_with_coarse_sketch(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.exponential(10, 20_000).round(3), np.full(9_000, 7.5)])
     frame = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
     want = [np.percentile(values, q) for q in (5, 50, 95)]
-    for limit in (20_000_000, 0):  # one task, and in buckets
-        monkeypatch.setattr("packetloom.operators.percentiles._ONE_TASK_ROWS", limit)
-        got = exact_percentiles(frame, "v", (0.05, 0.5, 0.95), LINEAR, accuracy=100).first()
-        assert list(got) == pytest.approx(want)
+    got = exact_percentiles(frame, "v", (0.05, 0.5, 0.95), LINEAR, accuracy=100).first()
+    assert list(got) == pytest.approx(want)
 
 
 def test_grouped_percentiles_with_one_hot_group(spark):

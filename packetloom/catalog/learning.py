@@ -68,14 +68,14 @@ def _clean_flows(spark, d):
 # SQL cannot fit a model. What must hold for every row of a model's output is
 # computed from that output; the twin names the rows from the tables.
 
-_VALID_SQL = (
+VALID_SQL = (
     f"with {CLEAN_FLOWS_SQL}, checked as (select *, {violations_sql(NON_NEGATIVE, ())} as violations "
     "from clean), valid as (select * from checked where violations = '')"
 )
 
 
 def _holds(*names: str) -> str:
-    return f"{_VALID_SQL} select flow_id, {', '.join(f'true as {n}' for n in names)} from valid"
+    return f"{VALID_SQL} select flow_id, {', '.join(f'true as {n}' for n in names)} from valid"
 
 
 _TEST_ROWS_SQL = (
@@ -265,7 +265,7 @@ def _(spark, d):
 
 @query(
     "k4_event_records",
-    _VALID_SQL.replace(" as violations from clean)", " as violations from clean join ips using (flow_id))")
+    VALID_SQL.replace(" as violations from clean)", " as violations from clean join ips using (flow_id))")
     .replace("with flows", f"with {SCORED_SQL}, ips as (select flow_id, src_ip, dst_ip from scored), flows", 1)
     + " select src_ip, dst_ip, count(*) as events, true as features_complete, true as alerts_match from valid group by 1, 2",
 )

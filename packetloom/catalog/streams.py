@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,16 @@ from packetloom.catalog.bindings import (
     REQUESTS_SQL,
     SCORED_SQL,
     raw_flows,
+    requests,
     scored_flows,
     table,
 )
-from packetloom.catalog.learning import flow_model
+from packetloom.catalog.learning import VALID_SQL, flow_model
 from packetloom.catalog.ordered import anchored_sql
 from packetloom.catalog.registry import query, rounded
+from packetloom.functions.alerts import alert_id
 from packetloom.operators.explain import IMPORTANCE
-from packetloom.operators.features import engineer_features, feature_map
+from packetloom.operators.features import engineer_features, feature_map, require_columns
 from packetloom.operators.statistics import evaluation_report
 from packetloom.plans.detection import detect
 from packetloom.schemas import FEATURES
@@ -106,10 +109,29 @@ def _(spark, d):
     return spark.read.schema(alerts.schema).parquet(f"{path}/rows").drop("batch_id")
 
 
-@query("k6_stream_rate_limit", anchored_sql(6 * 3600, 3).replace("make_timestamp(open_us) as window_start", "open_us as window_us"))
+_LATE = "11 days"
+
+
+@query(
+    "k6_stream_rate_limit",
+    anchored_sql(6 * 3600, 3).replace(
+        "make_timestamp(open_us) as window_start", "open_us as window_us"
+    )
+    + f" where ts < (select max(ts) from events) - interval {_LATE}",
+)
 def _(spark, d):
+    # stretches of five days, each pair of them in the wrong order, a file a
+    # trigger; the last days stay open until later requests arrive
+    path = scratch_path(spark, "requests")
+    rows = requests(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
+    stretch = F.floor(F.unix_seconds("at") / (5 * 86_400))
+    parts = [r[0] for r in rows.select(stretch).distinct().sort(F.lit(1)).collect()]
+    for i in range(0, len(parts), 2):
+        for part in reversed(parts[i : i + 2]):
+            rows.filter(stretch == part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     flags = rate_limit_stream(
-        _request_stream(spark, d), "client", "request_id", limit=3, seconds=6 * 3600
+        stream, "client", "request_id", ts="at", limit=3, seconds=6 * 3600, delay=_LATE
     )
     return drain(flags, spark, "rates")
 
@@ -133,14 +155,24 @@ def _(spark, d):
     return _ntz(drain(drop_repeats(twice, ["event_id"], delay="60 days"), spark, "repeats"), "ts")
 
 
-@query("k1_detect_stream")
+@query("k1_detect_stream", f"{VALID_SQL} select flow_id, true as alert_is_attack from valid")
 def _(spark, d):
     # the flows lie as CSV files in a folder that the stream watches
     path = scratch_path(spark, "incoming")
     _flow_files(spark, d, path)
     rows = read_flow_stream(spark, path, max_files=4)
-    alerts = detect(rows, flow_model(spark, d), method=IMPORTANCE).alerts()
-    return drain(alerts, spark, "alerts")
+    model = flow_model(spark, d)
+    alerts = drain(detect(rows, model, method=IMPORTANCE).alerts(), spark, "alerts")
+    # the batch run over the same files says which flows must have an alert
+    scored = detect(read_flows_csv(spark, path), model, method=IMPORTANCE).scored
+    flows = scored.select(
+        F.col("flow_id").cast("bigint").alias("flow_id"),
+        "prediction",
+        alert_id(F.col("flow_id"), F.col("ts")).alias("id"),
+    )
+    beside = flows.join(alerts.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left")
+    attack = (F.col("prediction") != "Normal").cast("int")
+    return beside.select("flow_id", (F.coalesce("n", F.lit(0)) == attack).alias("alert_is_attack"))
 
 
 def _flow_files(spark, d, path):
@@ -161,13 +193,57 @@ def _(spark, d):
     return rounded(engineer_features(read_flows_csv(spark, path), keep=["flow_id"]))
 
 
-@query("a5_files_since_start", "select cast(event_id as string) as event_id from events")
+@query(
+    "a5_files_since_start",
+    "select cast(event_id as string) as event_id from events where event_id % 2 = 1",
+)
 def _(spark, d):
     path = scratch_path(spark, "tail")
-    start = datetime(2020, 1, 1)
-    write_flows_csv(table(spark, d, "events").select("event_id", "event_type"), path)
-    rows = arrived_since(read_flow_stream(spark, path), start).select("event_id")
-    return drain(rows, spark, "since")
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    write_flows_csv(rows.filter("event_id % 2 = 0").coalesce(1), path)
+    time.sleep(2)  # file times may be whole seconds
+    start = datetime.now(UTC)
+    write_flows_csv(rows.filter("event_id % 2 = 1"), path, mode="append")
+    return drain(arrived_since(read_flow_stream(spark, path), start).select("event_id"), spark, "since")
+
+
+@query(
+    "a2_missing_and_empty_files",
+    "select * from (values ('empty', 'ValueError'), ('missing', 'FileNotFoundError'), "
+    "('rows', (select cast(count(*) as string) from events))) t(case_name, outcome)",
+)
+def _(spark, d):
+    path = scratch_path(spark, "csv")
+    write_flows_csv(table(spark, d, "events").select("event_id", "event_type"), f"{path}/rows")
+    spark.createDataFrame([], "x string").coalesce(1).write.text(f"{path}/empty")
+    found = []
+    for name in ("empty", "missing"):
+        try:
+            read_flows_csv(spark, f"{path}/{name}")
+            found.append((name, "read"))
+        except (ValueError, FileNotFoundError) as error:
+            found.append((name, type(error).__name__))
+    counted = read_flows_csv(spark, f"{path}/rows").agg(
+        F.lit("rows").alias("case_name"), F.count(F.lit(1)).cast("string").alias("outcome")
+    )
+    return spark.createDataFrame(found, "case_name string, outcome string").unionByName(counted)
+
+
+@query(
+    "b19_column_contract",
+    "select * from (values ('with label', 'accepted'), ('without label', 'ValueError')) t(case_name, outcome) "
+    "where exists (select * from events)",
+)
+def _(spark, d):
+    flows = raw_flows(spark, d)
+    out = []
+    for name, frame in (("with label", flows), ("without label", flows.drop("Label"))):
+        try:
+            require_columns(frame, "Label")
+            out.append((name, "accepted"))
+        except ValueError:
+            out.append((name, "ValueError"))
+    return spark.createDataFrame(out, "case_name string, outcome string")
 
 
 def _events(spark, d):

@@ -39,9 +39,12 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Every request with its window, number, flag and retry time.
 
-    State per client: when its window opened and how many requests it has had.
-    The state of an idle client is dropped when its window is over. A trigger
-    admits a bounded number of files, which bounds the rows per client here.
+    Requests are numbered in event-time order, whatever order they arrive in: a
+    client's requests wait in its state until the watermark has passed them, so
+    the result is that of the batch form. Requests that arrive behind the
+    watermark are dropped, and those of the last ``delay`` stay open until
+    later ones arrive. State per client: when its window opened, how many
+    requests it has had, and the waiting requests (at most those of ``delay``).
     """
     width = seconds * 1_000_000
     timed = with_event_time(requests, ts, delay).select(
@@ -56,33 +59,44 @@ def rate_limit_stream(
     def step(
         group: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        opened, count, us, ids = state.get if state.exists else (0, 0, [], [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = [pd.DataFrame({"us": list(us), "id": list(ids)})]
+        if not state.hasTimedOut:
+            for part in parts:
+                fresh = part[part["us"] >= mark]  # the others come too late
+                waiting.append(pd.DataFrame({"us": fresh["us"], "id": fresh[request_id]}))
+        rows = pd.concat([w for w in waiting if len(w)] or waiting[:1])
+        rows = rows.sort_values(["us", "id"], kind="stable")
+        final = rows["us"].to_numpy() < mark
+        done, rest = rows[final], rows[~final]
+        if len(done):
+            at = done["us"].to_numpy().astype(np.int64)
+            window, number, opened, count = _number(at, width, opened if count else None, count)
+            over = number > limit
+            wait = seconds - (at - window) // 1_000_000
+            yield pd.DataFrame(
+                {
+                    request_id: done["id"].to_numpy(),
+                    key: group[0],
+                    "window_us": window,
+                    "requests": number,
+                    "flagged": over,
+                    "retry_after": pd.array(np.where(over, wait, 0), dtype="Int32"),
+                }
+            )
+        if not len(rest) and (not count or opened + width <= mark):
+            if state.exists:
+                state.remove()
             return
-        rows = pd.concat(parts).sort_values(["us", request_id])
-        us = rows["us"].to_numpy()
-        opened, count = state.get if state.exists else (None, 0)
-        window, number, opened, count = _number(us, width, opened, count)
-        state.update((opened, count))
-        expiry = (opened + width) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        over = number > limit
-        wait = seconds - (us - window) // 1_000_000
-        yield pd.DataFrame(
-            {
-                request_id: rows[request_id].to_numpy(),
-                key: group[0],
-                "window_us": window,
-                "requests": number,
-                "flagged": over,
-                "retry_after": pd.array(np.where(over, wait, 0), dtype="Int32"),
-            }
-        )
+        state.update((opened, count, rest["us"].astype("int64").tolist(), rest["id"].tolist()))
+        due = int(rest["us"].iloc[0]) if len(rest) else opened + width
+        state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     flags = timed.groupBy(key).applyInPandasWithState(
         step,
         output,
-        "opened long, count long",
+        f"opened long, count long, us array<long>, ids array<{kinds[request_id]}>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

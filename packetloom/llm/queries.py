@@ -14,9 +14,12 @@ from packetloom.llm.mixing import mix, word_count
 from packetloom.llm.pii import BASE_KINDS, with_pii
 from packetloom.llm.quality_rules import judge
 from packetloom.llm.simhash import cluster
+from packetloom.llm.sql import SQL
 from packetloom.llm.token_files import read_token_files, write_token_files
 from packetloom.session import scratch_path
 
+__all__ = ["QUERIES", "SQL"]
+
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -209,4 +212,3 @@ QUERIES = {
         op10_tool_calls,
     )
 }
-SQL: dict[str, str] = {}

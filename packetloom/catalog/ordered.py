@@ -289,11 +289,22 @@ def _(spark, d):
 @query(
     "j8_alerts",
     f"with {SCORED_SQL} select concat('alert_', flow_id, '_', epoch_us(ts) // 1000) as id, timestamp, src_ip, dst_ip, "
-    "prediction as attack_type, confidence, case when confidence > 0.8::double then 'high' else 'medium' end as severity "
-    "from scored where prediction <> 'Normal'",
+    "prediction as attack_type, confidence, case when confidence > 0.8::double then 'high' else 'medium' end as severity, "
+    "concat('flow_duration=', round(confidence * 2, 6)) as features from scored where prediction <> 'Normal'",
 )
 def _(spark, d):
-    return build_alerts(scored_flows(spark, d)).drop("top_3_features")
+    one = F.struct(
+        F.lit("flow_duration").alias("feature"),
+        F.lit(0.0).alias("value"),
+        (F.col("confidence") * 2).alias("importance"),
+        (F.col("confidence") * 2).alias("abs_importance"),
+    )
+    alerts = build_alerts(scored_flows(spark, d).withColumn("top_features", F.array(one)))
+    text = F.transform(
+        "top_3_features",
+        lambda f: F.concat_ws("=", f["feature"], F.round(f["importance"], 6).cast("string")),
+    )
+    return alerts.withColumn("features", F.array_join(text, ",")).drop("top_3_features")
 
 
 @query(

@@ -455,19 +455,25 @@ def _(spark, d):
     return rounded(S.metrics_long(stats, attacks, names))
 
 
-@query(
-    "e21_evaluation_report",
+REPORT_SQL = (
     f"with {_SCORED_CLASSES}, {_ONE_ROW} select p50, p95, p99, mean, max, samples as rows_processed, throughput_fps, "
     f"accuracy, precision_macro, recall_macro, f1_macro, fpr, peak, mean_mb, attack_distribution, {_STATUS} "
-    "from lat, qual, speed, mem, dist",
+    "from lat, qual, speed, mem, dist"
 )
+
+
+@query("e21_evaluation_report", REPORT_SQL)
 def _(spark, d):
     report = S.evaluation_report(
         scored_flows(spark, d), batch="batch", memory="memory_mb", seconds=F.sum("latency_ms") / 1000
     )
+    return flat_report(report)
+
+
+def flat_report(report):
     flat = report.select(
         *[F.col(f"latency_metrics.{c}_ms").alias(c) for c in ("p50", "p95", "p99", "mean", "max")],
-        "rows_processed",
+        F.col("rows_processed").cast("bigint").alias("rows_processed"),
         "throughput_fps",
         "accuracy_metrics.accuracy",
         "accuracy_metrics.precision_macro",

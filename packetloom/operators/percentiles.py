@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,23 +36,29 @@ def exact_percentiles(
     ps: Sequence[float],
     kind: str = LINEAR,
     accuracy: int = 10_000,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row with an exact percentile column (``p95`` ...) for each of ``ps``.
 
     A sketch first gives a bracket around every percentile, some rows wide per
     ``accuracy`` rows. Outside the brackets rows are only counted; inside them
     equal values are merged, and just these few values are ordered, in buckets.
-    Two passes over the rows; the first one gives the sketch and the count.
+    Two passes over the rows; the first one gives the sketch and the count, and
+    the aggregates ``also``, which become further columns of the result.
     """
-    ps = sorted(ps)
+    ps, also = sorted(ps), dict(also or {})
     rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
     margin = 2.0 / accuracy
     edges = [e for p in ps for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    first = rows.agg(
-        F.percentile_approx("v", edges, accuracy).alias("q"), F.count(F.lit(1)).alias("n")
-    ).first()
-    n = first["n"]
-    cuts = F.lit(first["q"] or [0.0] * len(edges)).cast("array<double>")
+    number = F.col(value).cast("double")
+    passed = df.agg(
+        F.percentile_approx(number, edges, accuracy).alias("_q"),
+        F.count(number).alias("_n"),
+        *[c.alias(k) for k, c in also.items()],
+    )
+    first = passed.first()
+    n = first["_n"]
+    cuts = F.lit(first["_q"] or [0.0] * len(edges)).cast("array<double>")
 
     # 2i+1 is the inside of bracket i; even zones lie between the brackets
     zone = F.when(F.lit(False), -1)
@@ -69,7 +75,10 @@ def exact_percentiles(
     )
     ordered = running_totals(pieces, {"end": F.col("c")}, ["low"])
     ordered = ordered.withColumn("start", F.col("end") - F.col("c")).withColumn("n", F.lit(n))
-    return ordered.agg(*[_pick(p, kind).alias(percentile_name(p)) for p in ps])
+    kinds = {f.name: f.dataType for f in passed.schema.fields}
+    return ordered.agg(*[_pick(p, kind).alias(percentile_name(p)) for p in ps]).select(
+        "*", *[F.lit(first[k]).cast(kinds[k]).alias(k) for k in also]
+    )
 
 
 def _pick(p: float, kind: str) -> Column:

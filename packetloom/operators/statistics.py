@@ -15,6 +15,7 @@ from packetloom.operators.features import settled
 from packetloom.operators.ordering import last_n, running_totals, with_rank
 from packetloom.operators.percentiles import LINEAR, RANK, exact_percentiles, percentile_name
 from packetloom.schemas import TARGETS
+from packetloom.session import written
 
 #: sizes of the history buffers of a serving process, for ``keep`` and ``buffer``
 KEPT_SAMPLES = 10_000
@@ -72,13 +73,13 @@ def non_negative(df: DataFrame, value: str) -> DataFrame:
 def latency_stats(df: DataFrame, value: str) -> DataFrame:
     """Linear p50/p95/p99, mean, population deviation, max and sample count."""
     samples = non_negative(df, value)
-    ranks = _as_struct(exact_percentiles(samples, value, (0.5, 0.95, 0.99), LINEAR))
-    return samples.agg(
-        _zero(F.avg(value)).alias("mean"),
-        _zero(F.stddev_pop(value)).alias("std"),
-        _zero(F.max(value)).alias("max"),
-        F.count(F.lit(1)).alias("samples"),
-    ).withColumn("_r", ranks).select("_r.*", "mean", "std", "max", "samples")
+    also = {
+        "mean": _zero(F.avg(value)),
+        "std": _zero(F.stddev_pop(value)),
+        "max": _zero(F.max(value)),
+        "samples": F.count(F.lit(1)),
+    }
+    return exact_percentiles(samples, value, (0.5, 0.95, 0.99), LINEAR, also=also)
 
 
 def percentile(df: DataFrame, value: str, p: float) -> DataFrame:
@@ -97,14 +98,6 @@ def gauge_summary(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def _recent_ranks(rows: DataFrame, value: str, ps: Sequence[float], keep: int | None, order) -> Column:
-    """Rank percentiles, over the newest ``keep`` rows or over all of them."""
-    if keep is None:
-        return _as_struct(exact_percentiles(rows, value, ps, RANK))
-    recent = last_n(rows.select(*order, value), order, keep)
-    return _as_struct(exact_percentiles(recent, value, ps, RANK))
-
-
 def request_stats(
     df: DataFrame,
     ts: str = "ts",
@@ -117,21 +110,28 @@ def request_stats(
 
     Rank percentiles cover all requests, or the newest ``keep`` if given; counts, mean, min and max always cover all of them.
     """
-    ranks = _recent_ranks(df, duration, (0.5, 0.95, 0.99), keep, list(order or [ts]))
     total = F.count(F.lit(1))
     good = F.count_if(F.col(success))
-    out = df.agg(
-        total.alias("total_requests"),
-        good.alias("successful_requests"),
-        (total - good).alias("failed_requests"),
-        ratio(good, total).alias("success_rate"),
-        _zero(F.avg(duration)).alias("avg_ms"),
-        _zero(F.min(duration)).alias("min_ms"),
-        _zero(F.max(duration)).alias("max_ms"),
-        _span_seconds(ts).alias("uptime_seconds"),
-    )
-    ps = [F.col(f"_r.{p}").alias(f"{p}_ms") for p in ("p50", "p95", "p99")]
-    return out.withColumn("_r", ranks).select(*out.columns, *ps)
+    also = {
+        "total_requests": total,
+        "successful_requests": good,
+        "failed_requests": total - good,
+        "success_rate": ratio(good, total),
+        "avg_ms": _zero(F.avg(duration)),
+        "min_ms": _zero(F.min(duration)),
+        "max_ms": _zero(F.max(duration)),
+        "uptime_seconds": _span_seconds(ts),
+    }
+    ps = ("p50", "p95", "p99")
+    if keep is None:
+        out = exact_percentiles(df, duration, (0.5, 0.95, 0.99), RANK, also=also)
+    else:
+        order = list(order or [ts])
+        recent = last_n(df.select(*dict.fromkeys([*order, duration])), order, keep)
+        ranks = _as_struct(exact_percentiles(recent, duration, (0.5, 0.95, 0.99), RANK))
+        out = df.agg(*[c.alias(k) for k, c in also.items()]).withColumn("_r", ranks)
+        out = out.select(*also, "_r.*")
+    return out.select(*also, *[F.col(p).alias(f"{p}_ms") for p in ps])
 
 
 def traffic_stats(
@@ -328,7 +328,14 @@ def evaluation_report(
     memory: str | None = None,
 ) -> DataFrame:
     """The evaluation of a scored table in one row: latency, throughput,
-    quality, memory, distribution and target status."""
+    quality, memory, distribution and target status.
+
+    The source is read once: the columns that count are written, and the figures
+    come from those. ``seconds`` may use only the columns named here.
+    """
+    keys = [batch] if isinstance(batch, str) else list(batch)
+    used = dict.fromkeys([y_true, y_pred, prediction, latency, *keys, *([memory] if memory else [])])
+    df = written(df.select(*used), "report")
     seconds = seconds if seconds is not None else F.sum(F.col(latency)) / 1000
     speed = mean_batch_throughput(df, batch, seconds).scalar()
     quality = _as_struct(classification_metrics(df, y_true, y_pred))
@@ -368,7 +375,10 @@ def summary(
     y_pred: str,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """The nested stress-test record of a scored table, one row."""
+    """The nested stress-test record of a scored table, one row. The source is
+    read once, as in ``evaluation_report``."""
+    used = dict.fromkeys([ts, latency, memory, y_true, y_pred, prediction])
+    df = written(df.select(*used), "summary")
     lat = latency_stats(df, latency)
     rates = _as_struct(
         df.agg(

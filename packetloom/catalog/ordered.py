@@ -354,6 +354,27 @@ def _(spark, d):
     return flags.select("request_id", "client", "window_start", "requests", "flagged", "retry_after")
 
 
+_BURST = "make_timestamp(epoch_us(ts) % 600000000)"
+
+
+@query(
+    "k6_anchored_burst_of_one_client",
+    anchored_sql(60, 1)
+    .replace("user_id as client", "0 as client")
+    .replace("event_id as request_id, ts,", f"event_id as request_id, {_BURST} as ts,"),
+)
+def _(spark, d):
+    # all requests come from one client, within ten windows
+    us = F.unix_micros(F.col("ts").cast("timestamp")) % 600_000_000
+    one = requests(spark, d).withColumn("client", F.lit(0)).withColumn(
+        "ts", F.timestamp_micros(us).cast("timestamp_ntz")
+    )
+    flags = R.anchored_rate_flags(
+        one, "client", ["ts", "request_id"], limit=1, seconds=60, chunk_rows=2_000
+    )
+    return flags.select("request_id", "client", "window_start", "requests", "flagged", "retry_after")
+
+
 @query(
     "k7_windowed_metrics",
     f"with {REQUESTS_SQL}, b as (select time_bucket(interval 600 seconds, ts) as window_start, *, "

@@ -50,7 +50,7 @@ def tumbling_rate_flags(
 #
 # A window opens with the first request that arrives at least ``seconds`` after
 # the last window opened, so every window depends on the one before. To keep a
-# busy client out of a single task, its timeline is cut into chunks:
+# busy client out of a single task, its timeline is cut into chunks of rows:
 #   1. each chunk is reduced to a table "a window due from here opens there,
 #      and the chunk ends inside the window opened at ...";
 #   2. the tables of a client are chained, which gives each chunk the window
@@ -61,7 +61,7 @@ def tumbling_rate_flags(
 
 
 Group = dict[str, np.ndarray]
-_CHUNK_WINDOWS = 10
+_CHUNK_ROWS = 50_000
 
 
 def _joined(parts: list[Group]) -> Group:
@@ -151,23 +151,31 @@ def _reduce_chunks(rows: Group, key: str, width: int) -> Group:
     }
 
 
-def _chain_chunks(rows: Group, key: str, width: int) -> Group:
-    at = rank = None
-    open_us, open_first = [], []
-    for due, end, us, first in zip(rows["due"], rows["end"], rows["us"], rows["first"]):
-        open_us.append(at)
-        open_first.append(rank)
-        if at is None:
-            at, rank = int(us[0]), int(first[0])
-        elif at + width <= end:
-            i = int(np.searchsorted(due, at + width))
-            at, rank = int(us[i]), int(first[i])
-    return {
-        key: rows[key],
-        "_chunk": rows["_chunk"],
-        "open_us": _objects(*open_us),
-        "open_first": _objects(*open_first),
-    }
+def _chain_chunks(batches: Iterator[pd.DataFrame], key: str, width: int) -> Iterator[pd.DataFrame]:
+    """The window open at the start of every chunk; tables pass one at a time."""
+    client, at, rank = None, None, None
+    for batch in batches:
+        open_us, open_first = [], []
+        for name, due, end, us, first in zip(
+            batch[key], batch["due"], batch["end"], batch["us"], batch["first"]
+        ):
+            if name != client:
+                client, at, rank = name, None, None
+            open_us.append(at)
+            open_first.append(rank)
+            if at is None:
+                at, rank = int(us[0]), int(first[0])
+            elif at + width <= end:
+                i = int(np.searchsorted(due, at + width))
+                at, rank = int(us[i]), int(first[i])
+        yield pd.DataFrame(
+            {
+                key: batch[key],
+                "_chunk": batch["_chunk"],
+                "open_us": _objects(*open_us),
+                "open_first": _objects(*open_first),
+            }
+        )
 
 
 def _label_chunks(rows: Group, key: str, width: int) -> Group:
@@ -179,7 +187,13 @@ def _label_chunks(rows: Group, key: str, width: int) -> Group:
         window[:begin], first[:begin] = int(opened), int(rows["open_first"][0])
     where = _openings(at, width, begin)
     window[begin:], first[begin:] = at[where], rank[where]
-    return {key: rows[key], "us": at, "window_us": window, "window_first": first}
+    return {
+        key: rows[key],
+        "_chunk": rows["_chunk"],
+        "us": at,
+        "window_us": window,
+        "window_first": first,
+    }
 
 
 def _map_runs(df: DataFrame, keys: Sequence[str], step, schema: str, *args) -> DataFrame:
@@ -199,21 +213,23 @@ def anchored_rate_flags(
     limit: int = 1000,
     seconds: int = 60,
     buckets: int | None = None,
+    chunk_rows: int = _CHUNK_ROWS,
 ) -> DataFrame:
     """Every request with its window, its number in the window, whether it is
     above the limit, and after how many seconds a flagged client may retry.
 
-    ``order`` is (time column, unique tie-break). NULL clients are left out.
+    ``order`` is (time column, unique tie-break). NULL clients are left out. No
+    task holds more than ``chunk_rows`` rows of a client at once.
     """
     width = seconds * 1_000_000
     ts = order[0]
     timed = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(
         "us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
-    # one cut of the order gives the ranks; chunks are stretches of time
+    # one cut of the order gives the ranks, and the chunks with them
     ranked = written(
         with_rank(timed, order, [key], name="_rank", buckets=buckets).withColumn(
-            "_chunk", F.floor(F.col("us") / (_CHUNK_WINDOWS * width))
+            "_chunk", F.floor((F.col("_rank") - 1) / chunk_rows)
         ),
         "ranked",
     )
@@ -228,13 +244,9 @@ def anchored_rate_flags(
         key,
         width,
     )
-    entries = _map_runs(
-        tables.repartition(key).sortWithinPartitions(key, "_chunk"),
-        [key],
-        _chain_chunks,
+    entries = tables.repartition(key).sortWithinPartitions(key, "_chunk").mapInPandas(
+        lambda batches: _chain_chunks(batches, key, width),
         f"{field}, _chunk long, open_us long, open_first long",
-        key,
-        width,
     )
     windows = _map_runs(
         instants.join(entries, [key, "_chunk"])
@@ -243,11 +255,11 @@ def anchored_rate_flags(
         .sortWithinPartitions(key, "_chunk", "us"),
         [key, "_chunk"],
         _label_chunks,
-        f"{field}, us long, window_us long, window_first long",
+        f"{field}, _chunk long, us long, window_us long, window_first long",
         key,
         width,
     )
-    counted = ranked.join(windows, [key, "us"]).withColumn(
+    counted = ranked.join(windows, [key, "_chunk", "us"]).withColumn(
         "requests", F.col("_rank") - F.col("window_first") + 1
     )
     over = F.col("requests") > limit

@@ -135,7 +135,7 @@ def test_anchored_windows_against_replay(spark, span):
     )
     got = {
         r["id"]: (r["at"], r["requests"], r["flagged"], r["retry_after"])
-        for r in anchored_rate_flags(frame, "client", ["ts", "id"], limit=5, buckets=12)
+        for r in anchored_rate_flags(frame, "client", ["ts", "id"], limit=5, buckets=12, chunk_rows=150)
         .withColumn("at", F.unix_micros("window_start"))
         .collect()
     }

@@ -219,6 +219,16 @@ def _(spark, d):
     return O.sample_n(events, "user_id", 777).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "g5_shuffled",
+    "select o_orderkey, row_number() over (order by md5(concat('42', cast(o_orderkey as string)))) as place from orders",
+)
+def _(spark, d):
+    keys = O.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    hashed = keys.withColumn("h", O.hash_order(F.col("o_orderkey"), 42))
+    return O.with_rank(hashed, ["h"], name="place").select("o_orderkey", "place")
+
+
 @query(
     "h1_union_all",
     f"with {SCORED_SQL} select prediction, count(*) as n from (select * from scored union all select * from scored "

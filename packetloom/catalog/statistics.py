@@ -14,7 +14,7 @@ from packetloom.catalog.bindings import (
 from packetloom.catalog.registry import query, rounded
 from packetloom.operators import evaluation as E
 from packetloom.operators import statistics as S
-from packetloom.operators.percentiles import RANK, exact_percentiles
+from packetloom.operators.percentiles import RANK, approx_percentile, exact_percentiles
 from packetloom.schemas import LABELS
 
 _SPAN = "greatest(epoch_us(max(ts)) - epoch_us(min(ts)), 0) / 1000000"
@@ -410,6 +410,17 @@ def _map_text(column):
     return F.array_join(entries, ",")
 
 
+@query(
+    "e7_approx_percentile",
+    "select true as within_one_percent_of_ranks from events having count(*) > 0",
+)
+def _(spark, d):
+    events = table(spark, d, "events")
+    low, high = exact_percentiles(events, "value", (0.89, 0.91), RANK).first()
+    near = approx_percentile(events, "value", 0.9)
+    return near.select(F.col("p90").between(low, high).alias("within_one_percent_of_ranks"))
+
+
 @query(
     "e17_target_status",
     f"with {SCORED_SQL}, per as (select y_true, {_P95} as p95, "

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.operators.features import strip_headers
+from packetloom.operators.ordering import sample_n
 
 
 def _missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (error.getCondition() or "")
 
 
-def read_flows_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, header blanks removed.
+def read_flows_csv(
+    spark: SparkSession, path: str, sample_size: int = 0, seed: int = 42
+) -> DataFrame:
+    """All columns as text, header blanks removed. ``sample_size`` takes that
+    many rows (0: all), chosen by a hash of the row.
 
     Splitting the input is Spark's business (``spark.sql.files.maxPartitionBytes``).
     Files of one folder must share the header of the first.
@@ -30,7 +34,11 @@ def read_flows_csv(spark: SparkSession, path: str) -> DataFrame:
         raise
     if not raw.columns:
         raise ValueError(f"CSV is empty or has no header row: {path}")
-    return strip_headers(raw)
+    rows = strip_headers(raw)
+    if not sample_size:
+        return rows
+    named = rows.withColumn("_row", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    return sample_n(named, "_row", sample_size, seed).drop("_row")
 
 
 def write_flows_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

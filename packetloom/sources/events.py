@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.alerts import iso_now
 from packetloom.operators.features import to_flows
+from packetloom.operators.ordering import first_n
 from packetloom.schemas import EVENT_SCHEMA, FEATURES
 
 
@@ -48,11 +49,11 @@ def read_events_json(spark: SparkSession, path: str) -> DataFrame:
 def read_replay_json(spark: SparkSession, path: str, max_flows: int | None = None) -> DataFrame:
     """Saved events as flow records again, stamped with the current time.
 
-    ``max_flows`` keeps the oldest events.
+    ``max_flows`` keeps the oldest events, cut from ranges of the order.
     """
     events = read_events_json(spark, path)
     if max_flows:
-        events = events.orderBy("timestamp", "src_ip", "dst_ip").limit(max_flows)
+        events = first_n(events, ["timestamp", "src_ip", "dst_ip"], max_flows)
     flat = events.select(
         iso_now().alias("timestamp"),
         "src_ip",

@@ -14,6 +14,8 @@ can lie in any store that Spark reads.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from dataclasses import dataclass
 
@@ -26,15 +28,19 @@ from packetloom.session import scratch_path
 
 #: bytes of text whose ids one block holds at most, but for longer documents
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 400_000
+#: pieces that an encoder remembers, twice over (some 150 bytes each)
+_CACHED_PIECES = 700_000
 _LONGEST_WORD = 64
 
 
 class CachedEncoder:
     """Ids of texts as little-endian 16- or 32-bit integers.
 
-    Sound for tokenizers that never join characters across a blank or a line
-    end: pieces between those are encoded once and remembered.
+    Sound for tokenizers that drop white space, fold case, cut words of letters
+    from all other characters and mark the ends of words by ``</w>``: pieces
+    between blanks are then independent, so each is encoded once and remembered.
+    A piece that ends in a comma or full stop after a letter is two of them, and
+    an ASCII piece is that of its lower case.
     """
 
     def __init__(self, path: str):
@@ -42,23 +48,61 @@ class CachedEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of letters, encoded as one text and cut at the ends of words."""
+        whole = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(whole[0].ids, dtype=self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        raw, at = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *at], at)]
+
+    def _learn(self, new: set[str]) -> None:
+        known, older = self.known, self.older
+        again = new & older.keys()
+        known.update((piece, older[piece]) for piece in again)
+        split = {}
+        for piece in new - again:
+            stem, mark = piece, ""
+            if piece[-1] in ",." and piece[-2:-1].isalpha():
+                stem, mark = piece[:-1], piece[-1]
+            if stem.isascii():
+                stem = stem.lower()
+            if (stem, mark) != (piece, ""):
+                split[piece] = stem, mark
+        needed = {w for parts in split.values() for w in parts} | (new - again - split.keys())
+        missing = sorted(needed - known.keys())
+        words = [w for w in missing if w.isalpha()]
+        others = [w for w in missing if not w.isalpha()]
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            known.update(zip(part, self._together(part)))
+        if others:
+            known.update(zip(others, self._each(others)))
+        for piece, (stem, mark) in split.items():
+            known[piece] = known[stem] + known[mark]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHED_WORDS:
-            self.known = {"": b""}
+        if len(self.known) > _CACHED_PIECES:  # what is in use comes back from older
+            self.known, self.older = {"": b""}, self.known
         known = self.known
-        new = {w for pieces in split for w in pieces if w not in known}
+        new = set().union(*split) - known.keys()
         if new:
-            order = sorted(new)
-            known.update(zip(order, self._ids(order)))
+            self._learn(new)
         out = [b"".join([known[w] for w in pieces]) for pieces in split]
         for word in new:
             if len(word) > _LONGEST_WORD:  # rare and large: not kept
@@ -66,6 +110,16 @@ class CachedEncoder:
         return out
 
 
+def _worker_encoder(path: str) -> CachedEncoder:
+    """The encoder of this worker process, which Spark uses for many tasks: what
+    it has learnt carries over. Functions travel by value, so it is kept under a
+    module name of its own."""
+    kept = sys.modules.setdefault("packetloom_worker", types.ModuleType("packetloom_worker"))
+    if getattr(kept, "encoder_path", None) != path:
+        kept.encoder, kept.encoder_path = CachedEncoder(path), path
+    return kept.encoder
+
+
 def _text_groups(texts: list[str], limit: int = 1 << 20):
     group: list[str] = []
     size = 0
@@ -87,7 +141,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
 
     def encode(batches):
-        encoder = CachedEncoder(tokenizer)
+        encoder = _worker_encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -54,5 +54,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     then costs a re-read, not the whole plan before it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -263,7 +263,7 @@ def mix(
     # one row a pattern, at most MAX_PATTERNS of them
     plans = F.broadcast(spark.createDataFrame(plan, f"_pattern string, _base int, _credit {kind}"))
     extra = _with_extra(table.select("_pattern", "_key", "_size"), rest, counts)
-    extra = F.broadcast(written(extra, "extra"))
+    extra = written(extra, "extra")  # small or not, its size is known to Spark
     times = F.col("_base") + F.when(
         (F.col("_key") < F.col("_low")) | F.array_contains("_more", F.col("_key")), 1
     ).otherwise(0)

@@ -71,7 +71,7 @@ class CachedEncoder:
 
     def _learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
-        again = new & older.keys()
+        again = {w for w in new if w in older}
         known.update((piece, older[piece]) for piece in again)
         split = {}
         for piece in new - again:
@@ -83,7 +83,7 @@ class CachedEncoder:
             if (stem, mark) != (piece, ""):
                 split[piece] = stem, mark
         needed = {w for parts in split.values() for w in parts} | (new - again - split.keys())
-        missing = sorted(needed - known.keys())
+        missing = sorted(w for w in needed if w not in known)
         words = [w for w in missing if w.isalpha()]
         others = [w for w in missing if not w.isalpha()]
         for i in range(0, len(words), 1000):
@@ -100,10 +100,11 @@ class CachedEncoder:
         if len(self.known) > _CACHED_PIECES:  # what is in use comes back from older
             self.known, self.older = {"": b""}, self.known
         known = self.known
-        new = set().union(*split) - known.keys()
+        # asked word by word: a difference would walk through all that is known
+        new = {w for w in set().union(*split) if w not in known}
         if new:
             self._learn(new)
-        out = [b"".join([known[w] for w in pieces]) for pieces in split]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for word in new:
             if len(word) > _LONGEST_WORD:  # rare and large: not kept
                 del known[word]

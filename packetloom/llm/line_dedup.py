@@ -117,7 +117,19 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     )
     end = f"shiftleft(1, size(t.x) - size(t.y) + {edits})"
     close = f"abs(size(t.x) - size(t.y)) <= {edits} and ({reached} & {end}) > 0"
-    return F.expr(_bound(f"array(struct(split({a}, '') as x, split({b}, '') as y))", "t", close))
+    # equal beginnings and ends cost no edits and need no steps
+    shared = "coalesce(get(filter(sequence(0, {n} - 1), i -> {x}[i] <> {y}[i]), 0), {n})"
+    n = "least(size(w.x), size(w.y))"
+    head, tail = shared.format(n=n, x="w.x", y="w.y"), shared.format(n=n, x="w.rx", y="w.ry")
+    measured = f"struct(w.x as x, w.y as y, {head} as head, {tail} as tail, {n} as n)"
+    cut = "slice(v.{0}, v.head + 1, size(v.{0}) - v.head - least(v.tail, v.n - v.head))"
+    middle = f"struct({cut.format('x')} as x, {cut.format('y')} as y)"
+    chars = ", ".join(
+        f"split({text}, '') as {name}"
+        for name, text in (("x", a), ("y", b), ("rx", f"reverse({a})"), ("ry", f"reverse({b})"))
+    )
+    texts = _bound(f"array(struct({chars}))", "w", measured)
+    return F.expr(_bound(f"array({_bound(f'array({texts})', 'v', middle)})", "t", close))
 
 
 def _struct(values: list) -> str:

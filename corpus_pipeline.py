@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.decontaminate import decontaminate
 from packetloom.llm.mixing import mixed_documents
+from packetloom.llm.near_texts import keep_one_similar
 from packetloom.llm.quality_rules import keep_good
 from packetloom.llm.queries import END_ID, tokenizer_path
-from packetloom.llm.simhash import keep_one
 from packetloom.llm.token_files import read_token_files, write_token_files
 from packetloom.session import scratch_path
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies."""
-    return keep_one(docs)
+    """One document of each group of near copies: five-word Jaccard of 0.8 or more."""
+    return keep_one_similar(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

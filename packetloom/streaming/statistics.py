@@ -17,6 +17,20 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") ->
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
+def closing_row(rows: DataFrame, after: str, ts: str = "ts") -> DataFrame:
+    """One row of the same columns, ``after`` (an interval) and a second behind the
+    last of the table ``rows``; its other columns are NULL.
+
+    Appended to a stream of those rows it moves the watermark past them: with
+    ``after`` the delay and the width of a window, all their windows close. The
+    row's own window stays open.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    last = rows.agg(F.max(ts).alias(ts))
+    behind = (F.col(ts) + F.expr(f"interval {after}") + F.expr("interval 1 second")).cast(kinds[ts])
+    return last.select(*[behind.alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+
 def stream_stats(
     scored: DataFrame, ts: str = "ts", width: str = "1 minute", delay: str = "10 minutes"
 ) -> DataFrame:

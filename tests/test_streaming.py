@@ -209,3 +209,12 @@ def test_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(Elsewhere(), "x")
+
+
+def test_every_row_of_the_closed_queries_comes_out(spark, sf_dir):
+    from packetloom.catalog import QUERIES
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert QUERIES["k6_stream_rate_limit"](spark, sf_dir).select("request_id").distinct().count() == events
+    for name, column in (("k2_stream_stats", "flows"), ("k7_stream_request_metrics", "requests")):
+        assert QUERIES[name](spark, sf_dir).agg(F.sum(column)).first()[0] == events

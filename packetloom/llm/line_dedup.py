@@ -6,6 +6,10 @@ by its own segments, and probes, for each length it may be matched with, the
 substrings that such a segment could be. Segments and probes meet by a 64-bit
 hash of segment number, length and characters.
 
+Segments of short lines would be a character or two. Pairs with a line below
+``SPLIT`` characters meet by their deletion neighbourhoods instead: two lines within
+``edits`` edits share a text that each gives by at most as many deletions.
+
 Only hashes are shuffled for the search; texts follow for the few lines whose
 hash met another line. Candidates must agree in letter counts (an edit moves each
 by one at most), which also splits groups that one segment makes large, and are
@@ -22,8 +26,11 @@ from packetloom.llm.components import components
 from packetloom.session import written
 
 EDITS = 2
-#: shorter lines (in characters) are equal or different, never near
+#: a floor that callers may set: shorter lines (in characters) are equal or
+#: different, never near; 0 links lines of any length
 LEAST_CHARS = 24
+#: pairs with a shorter line meet by deletions, the others by segments
+SPLIT = 12
 #: probe keys that are broadcast; beyond it they are joined by a shuffle
 _BROADCAST_KEYS = 1_000_000
 _BLANKS = " \t\x0b\x0c\r"
@@ -141,14 +148,47 @@ def _bound(array: str, name: str, body: str) -> str:
     return f"transform({array}, {name} -> {body})[0]"
 
 
+def _deletions(line: str, edits: int) -> str:
+    """SQL for the distinct texts that at most ``edits`` deletions leave of a line."""
+    one = "transform(sequence(1, length({0})), i -> concat(left({0}, i - 1), substring({0}, i + 1)))"
+    out = f"array({line})"
+    for _ in range(edits):
+        fewer = f"flatten(transform({out}, w -> if(w = '', array(w), {one.format('w')})))"
+        out = f"array_distinct(concat({out}, {fewer}))"
+    return out
+
+
+def short_links(lines: DataFrame, edits: int, least: int, split: int) -> DataFrame:
+    """``a``, ``b``: distinct lines (a < b) at most ``edits`` edits apart, both of ``least``
+    characters or more and one of fewer than ``split``. Every such pair, once."""
+    short = lines.select("line").filter(F.length("line").between(least, split - 1 + edits)).distinct()
+    entered = short.select("line", F.explode(F.expr(_deletions("line", edits))).alias("left")).select(
+        F.xxhash64("left").alias("key"), "line"
+    )
+    met = entered.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    live = written(entered.join(met.filter("low <> high").select("key"), "key", "left_semi"), "short")
+    pairs = live.withColumnRenamed("line", "a").join(live.withColumnRenamed("line", "b"), "key")
+    near = (
+        (F.col("a") < F.col("b"))
+        & (F.abs(F.length("a") - F.length("b")) <= edits)
+        & (F.least(F.length("a"), F.length("b")) < split)
+    )
+    return pairs.filter(near).select("a", "b").distinct().filter(within_edits("a", "b", edits))
+
+
 def near_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """``a``, ``b``: distinct lines (texts, a < b) at most ``edits`` edits apart, both
-    of ``least`` characters or more. Every such pair, once.
+    of ``least`` characters or more (0: of any length). Every such pair, once."""
+    # segments keep a few characters
+    split = max(SPLIT, 3 * (edits + 1))
+    if least >= split:
+        return _long_links(lines, edits, least)
+    long = _long_links(lines, edits, split)
+    return long.unionByName(short_links(lines, edits, least, split))
 
-    ``least`` must leave every segment a few characters.
-    """
-    if least < 3 * (edits + 1):
-        raise ValueError("least must be at least three characters a segment")
+
+def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """Links of lines of ``least`` characters or more, by segments."""
     entered = _entered(lines, edits, least)
     met = (
         entered.groupBy("key")
@@ -199,7 +239,7 @@ def _line_id(line: str) -> Column:
     return F.md5(F.encode(line, "UTF-8"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
     """Lines that are repeated or near another: ``line_id``, ``first`` (smallest
     document, key and line number of its class), ``n_links`` (near lines)."""
     lines = with_lines(docs)
@@ -225,7 +265,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     )
 
 
-def line_verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_verdicts(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
     """Per document (``doc_id``, ``doc_key``): ``removed``, the numbers of lines
     that repeat or nearly repeat an earlier one, and ``n_links`` of its lines.
     Documents without repeated or near lines are absent."""
@@ -245,7 +285,7 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     )
 
 
-def with_removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def with_removed_lines(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
     """Every row of ``docs`` (as the struct ``row``) with ``removed`` and ``n_links``.
 
     A line is removed if an earlier one (by ``doc_id``, NULL first, then text

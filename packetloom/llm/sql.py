@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from packetloom.llm.license_texts import PHRASES, TEMPLATES
 from packetloom.llm.licenses import Node, parse_template
-from packetloom.llm.line_dedup import EDITS, LEAST_CHARS
+from packetloom.llm.line_dedup import EDITS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = (
@@ -100,7 +100,7 @@ e as (select doc_id, n - 1 as line_no, {_TRIM.format("parts[n]")} as line from (
 l as (select * from e where line <> ''),
 u as (select line, length(line) as size, min((doc_id, line_no)) as first from l group by line),
 p as (select a.line as a, b.line as b from u a join u b on b.size between a.size and a.size + {EDITS}
-  and a.line <> b.line and a.size >= {LEAST_CHARS} and levenshtein(a.line, b.line) <= {EDITS}),
+  and a.line <> b.line and levenshtein(a.line, b.line) <= {EDITS}),
 links as (select a, b from p union select b, a from p),
 degree as (select a as line, count(*) as n_links from links group by 1),
 reach as (select a as line, a as other from links union select r.line, k.b from reach r join links k on r.other = k.a),

@@ -40,7 +40,8 @@ class CachedEncoder:
     from all other characters and mark the ends of words by ``</w>``: pieces
     between blanks are then independent, so each is encoded once and remembered.
     A piece that ends in a comma or full stop after a letter is two of them, and
-    an ASCII piece is that of its lower case.
+    an ASCII piece is that of its lower case, unless that holds an added token:
+    these are matched before case is folded.
     """
 
     def __init__(self, path: str):
@@ -52,6 +53,8 @@ class CachedEncoder:
         self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.lower() for t in added]
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -79,7 +82,9 @@ class CachedEncoder:
             if piece[-1] in ",." and piece[-2:-1].isalpha():
                 stem, mark = piece[:-1], piece[-1]
             if stem.isascii():
-                stem = stem.lower()
+                folded = stem.lower()
+                if not any(t in folded for t in self.added):
+                    stem = folded
             if (stem, mark) != (piece, ""):
                 split[piece] = stem, mark
         needed = {w for parts in split.values() for w in parts} | (new - again - split.keys())

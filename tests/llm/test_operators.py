@@ -202,6 +202,14 @@ def test_encoder_equals_whole_texts():
             assert np.frombuffer(ids, encoder.kind).tolist() == want, text
 
 
+def test_encoder_keeps_the_case_of_added_tokens():
+    encoder = CachedEncoder(queries.tokenizer_path())
+    texts = ["<|ENDOFTEXT|>", "A<|EndOfText|>b, <|endoftext|>", "<|StartOfText|>.", "X<|endoftext|>Y"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, encoder.kind).tolist() == want, text
+
+
 # --- near duplicates --------------------------------------------------------
 
 

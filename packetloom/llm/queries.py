@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import line_crf
 from packetloom.llm.chat_tools import CALLS, link_calls
+from packetloom.llm.collocations import collocations
 from packetloom.llm.decontaminate import mark_windows, n_hit
 from packetloom.llm.licenses import scan_licenses
 from packetloom.llm.line_dedup import with_removed_lines
@@ -197,6 +198,11 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(messages, {"reply": REPLY_SCHEMA})
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -210,5 +216,6 @@ QUERIES = {
         op8_quality_rules,
         op9_line_dedup,
         op10_tool_calls,
+        op13_collocations,
     )
 }

@@ -139,9 +139,36 @@ select conv_id, turn, kind, row_number() over (partition by conv_id order by tur
 from e"""
 
 
+# --- collocations: every phrase by list slices ---------------------------------
+
+OP13_SQL = rf"""with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+    '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+f as (
+  select lang, g, len(g) as k, count(*) as f from (
+    select lang, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i:i + k - 1])) as g
+    from w, (select unnest([1, 2, 3]) as k))
+  group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and f >= 10),
+inner_of as (select lang, g, max(f) as host from (
+  select lang, unnest([g[1:2], g[2:3]]) as g, f from c where k = 3) group by all),
+kept as (select c.* from c left join inner_of i using (lang, g) where host is null or 100 * host < 50 * f),
+cuts as (
+  select kept.lang, kept.g, kept.f as a, cut, x.f as l, y.f as r,
+    cast(1000000::hugeint * kept.f * kept.f // (x.f::hugeint * y.f) as bigint) as score
+  from kept, (select unnest([1, 2]) as cut), f x, f y
+  where cut < kept.k and x.lang = kept.lang and y.lang = kept.lang and x.g = kept.g[1:cut] and y.g = kept.g[cut + 1:kept.k]),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(array_to_string(g, ' '))) as rank from best)
+select lang, rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
+
+
 SQL = {
     "op1_license_scan": op1_sql(),
     "op4_decontaminate": OP4_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordering import with_rank
 from packetloom.session import written
 
 LEAST = 10
@@ -374,10 +375,18 @@ def collocations(
     scored = pairs.select("lang", "phrase", "a", cut(1).alias("c")).unionByName(
         triples.select("lang", "phrase", "a", F.least(cut(1), cut(2)).alias("c"))
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(best).cast("long"))
-    if top is not None:
-        ranked = ranked.filter(F.col("rank") <= top)
+    scored = scored.select("lang", "phrase", "a", "c", (-F.col("c.score")).alias("_s"), (-F.col("a")).alias("_a"))
+    order = ["_s", "_a", "phrase"]
+    if top is None:
+        ranked = with_rank(scored, order, ["lang"])
+    else:
+        # a language's first are first in their slot; slots spread a large language
+        slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slot = F.pmod(F.xxhash64("phrase"), F.lit(slots))
+        first = Window.partitionBy("lang", slot).orderBy(*order)
+        ranked = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        ranked = ranked.filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     return ranked.join(total, "lang").select(
         "lang", "rank", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), "n",
         F.col("c.score").alias("score"),

@@ -65,6 +65,7 @@ def test_odd_rows(spark, make_docs):
     plain_rows = [(r.text, r.lang) for r in docs.collect()]
     assert got(C.collocations(docs)) == plain(plain_rows)
     assert got(C.collocations(docs, least=3, top=5)) == plain(plain_rows, 3, 5)
+    assert got(C.collocations(docs, least=2, top=None)) == plain(plain_rows, 2, 10**9)
     assert C.collocations(docs.limit(0)).collect() == []
 
 

@@ -9,6 +9,7 @@ from packetloom.llm import line_crf
 from packetloom.llm.chat_tools import CALLS, link_calls
 from packetloom.llm.collocations import collocations
 from packetloom.llm.decontaminate import mark_windows, n_hit
+from packetloom.llm.embedding_dedup import near_vectors
 from packetloom.llm.licenses import scan_licenses
 from packetloom.llm.line_dedup import with_removed_lines
 from packetloom.llm.mixing import mix, word_count
@@ -198,6 +199,11 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(messages, {"reply": REPLY_SCHEMA})
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label within a cosine of 0.93, as links, classes and survivors."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
@@ -216,6 +222,7 @@ QUERIES = {
         op8_quality_rules,
         op9_line_dedup,
         op10_tool_calls,
+        op12_embedding_dedup,
         op13_collocations,
     )
 }

@@ -165,10 +165,26 @@ ranked as (select *, row_number() over (partition by lang order by score desc, a
 select lang, rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
 
 
+# --- near vectors: all pairs of a label ----------------------------------------
+
+OP12_SQL = """with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.x, b.x) >= 0.93),
+r as (select vec_id, vec_id as other from embeddings union select r.vec_id, e.b from r join e on r.other = e.a),
+c as (select vec_id, min(other) as component_id from r group by vec_id),
+n as (select a as vec_id, count(*) as n_links from e group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from c left join n using (vec_id)"""
+
+
 SQL = {
     "op1_license_scan": op1_sql(),
     "op4_decontaminate": OP4_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op12_embedding_dedup": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.llm import line_crf
 from packetloom.llm.chat_tools import CALLS, link_calls
 from packetloom.llm.collocations import collocations
+from packetloom.llm.conversation_repair import repair
 from packetloom.llm.decontaminate import mark_windows, n_hit
 from packetloom.llm.embedding_dedup import near_vectors
 from packetloom.llm.licenses import scan_licenses
@@ -199,6 +200,28 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(messages, {"reply": REPLY_SCHEMA})
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with planted faults: by crc32 of ``conv_id:turn`` modulo 20, 0 drops a row,
+    1 empties its text, 2 removes its sentence ends, 3 repeats it, 4 makes it the
+    user's. NULLs are one space."""
+    one = F.lit(" ")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), one) for c in ("conv_id", "turn"))
+    kind = F.crc32(F.concat_ws(":", conv, turn)) % 20
+    text = F.coalesce(F.col("text"), one)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce(F.col("role"), one))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)))
+    return conversations.filter(kind != 0).select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and cheapest repairs."""
+    turns = _table(spark, sf_dir, "conversations")
+    return repair(damaged(turns), turns)
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label within a cosine of 0.93, as links, classes and survivors."""
     return near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -222,6 +245,7 @@ QUERIES = {
         op8_quality_rules,
         op9_line_dedup,
         op10_tool_calls,
+        op11_conversation_repair,
         op12_embedding_dedup,
         op13_collocations,
     )

@@ -165,6 +165,74 @@ ranked as (select *, row_number() over (partition by lang order by score desc, a
 select lang, rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
 
 
+# --- conversation repair: the cheapest way to every state, row by row ------------
+
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(k, ''), lambda c: ord(c)::ubigint)), "
+    "lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda i: 0::ubigint)), "
+    "lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"
+)
+#: states: 0 nothing, 1 system, 2 user, 3 assistant; what inserts lead to
+_INSERTS = "(values (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I'))"
+_STEPS = "(values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2))"
+
+OP11_SQL = f"""with recursive o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) as k from conversations),
+c as (select *, {_CRC32} % 20 as code from o),
+d as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case when code = 1 then '' when code = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when code = 3 then 2 else 1 end)) as copy
+  from c where code <> 0),
+p as (
+  select *, row_number() over w as pos, lag(left(role, 1)) over w || left(role, 1) as pair,
+    rtrim(text, e' \\t\\n\\x0b\\f\\r') as shown,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again
+  from d window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+f as (select *, shown = '' as blank, shown <> '' and again as duplicate,
+  shown <> '' and not again and right(shown, 1) not in ('.', '!', '?') as truncated from p),
+g as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as rows
+  from f group by conv_id),
+e as (
+  select conv_id, pos, q, q as q2, 3 as c, 'D' as s from f, (select unnest([0, 1, 2, 3]) as q)
+  union all
+  select conv_id, pos, q, q2, truncated::int, 'K' from f, {_STEPS} t(q, r, q2) where not blank and not duplicate and left(role, 1) = r
+  union all
+  select conv_id, pos, q, q2, 2 + truncated::int, 'R' from f, {_STEPS} t(q, r, q2) where not blank and not duplicate and r <> 's'),
+r as (
+  select conv_id, 0::bigint as pos, q2 as q, c, s as a from g, {_INSERTS} t(q, q2, c, s) where q = 0
+  union all
+  select conv_id, pos, q, c, a from (
+    select r.conv_id, e.pos, i.q2 as q, r.c + e.c + i.c as c, r.a || e.s || i.s as a
+    from r join e on e.conv_id is not distinct from r.conv_id and e.pos = r.pos + 1 and e.q = r.q
+    join {_INSERTS} i(q, q2, c, s) on i.q = e.q2)
+  qualify row_number() over (partition by conv_id, q order by c, a) = 1),
+best as (
+  select g.conv_id, r.c, r.a from g join r on r.conv_id is not distinct from g.conv_id and r.pos = g.rows
+  where r.q in (0, 3) qualify row_number() over (partition by g.conv_id order by r.c, r.a) = 1),
+steps as (select conv_id, unnest(string_split(a, '')) as s, generate_subscripts(string_split(a, ''), 1) as nr from best where a <> ''),
+told as (
+  select conv_id, s, nr, sum((s <> 'I')::int) over w as pos, sum((s <> 'D')::int) over w as place,
+    sum((s <> 'D')::int) over (partition by conv_id) as total
+  from steps window w as (partition by conv_id order by nr)),
+texts as (
+  select t.conv_id, sha256(string_agg(
+    case when s = 'K' then f.role when (place - total % 2) % 2 = 1 then 'user' else 'assistant' end || ':' ||
+    case when s = 'I' then '' else f.text end, e'\\n' order by nr)) as sha
+  from told t join f on f.conv_id is not distinct from t.conv_id and f.pos = greatest(t.pos, 1) where s <> 'D' group by t.conv_id)
+select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(c, 0)::bigint as cost,
+  coalesce(a, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) ids
+left join g on g.conv_id is not distinct from ids.conv_id
+left join best on best.conv_id is not distinct from ids.conv_id
+left join texts on texts.conv_id is not distinct from ids.conv_id"""
+
+
 # --- near vectors: all pairs of a label ----------------------------------------
 
 OP12_SQL = """with recursive v as (
@@ -185,6 +253,7 @@ SQL = {
     "op4_decontaminate": OP4_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_embedding_dedup": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,28 @@ def local_session(cores: str = "8", app: str = "packetloom", **conf: str) -> Spa
     return spark
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The scratch paths that are given out inside the block."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not paths]
+
+
+def remove_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that no later step reads, in whatever store they lie."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share.
 
@@ -44,7 +68,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, "packetloom", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "packetloom", f"{name}-{uuid.uuid4().hex}")
+    for record in _RECORDS:
+        record.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,48 +1,79 @@
-"""Near copies of whole texts: five-word fingerprints, then the shingles themselves.
-
-Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 lie some ten
-bits apart, so bands of equal bits find few of them. Fingerprints are compared
-tile by tile instead: tiles hold texts of like numbers of shingles, pairs of tiles
-whose numbers exclude the similarity are never made, and inside a pair blocks
-whose population counts differ by more than the radius are skipped. No pair
-within the radius is lost; each is then verified by its shingles.
+"""Near copies of whole texts: shared shingles, fingerprints, then the shingles themselves.
+
+Texts are taken as sets of five-word shingles. In one fixed order of all shingles two
+sets of a Jaccard similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 of each,
+so texts meet in the groups of these. Shingles that very many texts hold come last in
+the order: they form groups only where a text has little else.
+
+Inside a group fingerprints of 256 bits are compared by exclusive-or and bit counts,
+those first whose population counts allow it; groups larger than a tile go out as
+pairs of tiles. Of the pairs within the radius a task passes on a spanning forest, the
+nearest first. These are verified by their shingles. What they join needs no other
+look; only pairs that they left apart are listed one by one and verified too. So no
+pair within the radius is lost, and a group of near copies costs a link per text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
-from packetloom.llm.simhash import SEED, fingerprint_bytes
+from packetloom.llm.words import SPACED, Words, text_chunks
 from packetloom.session import written
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: bits; see the README for the similar texts that it reaches
-RADIUS = 16
-#: fingerprints of one tile
-TILE = 8192
-_BLOCK = 512
-#: steps of the number of shingles up to a ratio of 1 / SIMILAR
-_STEPS = 4
-#: the part of the pairs that is verified first
-_FIRST = 16
-
-
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    n = max(len(words) - SHINGLE + 1, 1)
-    every = [xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)]
-    return np.unique(np.array(every, dtype=np.uint64))
+LANES = 4
+#: bits of 256: sets at 0.8 differ in 39 on the average (deviation 6), others in 128
+RADIUS = 72
+#: texts of one tile
+TILE = 2048
+#: texts in which frequent shingles are looked for, and in how many of them those stand.
+#: The order of shingles, not the result, follows from this.
+SAMPLE = 20_000
+FREQUENT = 40
+_MOST_FREQUENT = 100_000
+#: digests that a task remembers so as not to send the keys of copies again
+_SEEN = 200_000
+_MULTIPLIERS = np.array(
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64
+)
+
+
+def shingle_sets(column: pa.Array):
+    """Per text its sorted distinct shingle hashes and the bytes that it is compared by:
+    its words, folded and joined by blanks. Texts of one to four words have one shingle."""
+    for _, texts in text_chunks(column):
+        texts = texts.lower()
+        words = Words(texts, SPACED)
+        each = words.hashes()
+        whole = words.window_hashes(each, SHINGLE)
+        data = texts.data.tobytes()
+        for i in range(len(texts)):
+            a, b = int(words.rows[i]), int(words.rows[i + 1])
+            if b - a >= SHINGLE:
+                found = np.unique(whole[a : b - SHINGLE + 1])
+            else:  # equal only to the same words, which one digest says already
+                found = each[a : min(b, a + 1)]
+            yield found, b" ".join(data[texts.bounds[i] : texts.bounds[i + 1]].split())
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """A SimHash of ``LANES`` times 64 bits."""
+    ones = np.zeros(64 * LANES, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        lanes = hashes[at : at + (1 << 12), None] * _MULTIPLIERS
+        lanes ^= lanes >> np.uint64(29)
+        lanes *= _MULTIPLIERS[0]
+        lanes ^= lanes >> np.uint64(32)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -51,89 +82,234 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, one of which any similar set shares."""
+    n = len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = frequent[at] == hashes
+        hashes = np.concatenate([hashes[~often], hashes[often]])
+    return hashes[:n]
+
+
+def _texts(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("row.text").cast("string").alias("t"), *more)
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``row``, ``fp``, ``size`` (distinct shingles) and ``digest`` (of the words)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("t"))
+    """``row``, ``n``, ``digest`` (of the words), ``size`` (distinct shingles) and ``fp``."""
+    rows = docs.select(F.col("text").cast("string").alias("t"), F.struct("*").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
 
     def scan(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1).cast(pa.large_binary()).fill_null(b"")]
-            prints = np.array([fingerprint_bytes(t, SHINGLE) for t in texts], dtype=np.uint64)
-            sizes = [len(shingle_hashes(t)) for t in texts]
-            words = [hashlib.md5(b" ".join(t.lower().split())).digest() for t in texts]
+            digests, sizes, prints = [], [], []
+            for hashes, words in shingle_sets(batch.column(0)):
+                digests.append(hashlib.md5(words).digest())
+                sizes.append(len(hashes))
+                prints.append(fingerprint(hashes).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(prints.view(np.int64)),
-                    pa.array(sizes, pa.int64()), pa.array(words, pa.binary()),
+                    batch.column(1), pa.array(digests, pa.binary()),
+                    pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
                 ],
-                ["row", "fp", "size", "digest"],
+                ["row", "digest", "size", "fp"],
             )
 
-    return rows.mapInArrow(scan, f"row {kind}, fp long, size long, digest binary")
-
-
-def _near(a: np.ndarray, b: np.ndarray, radius: int):
-    """Pairs (positions) of two tiles, rows ``node``, ``fp``, ``size``, within the
-    radius and of sizes that allow the similarity."""
-    a, b = (t[:, np.argsort(np.bitwise_count(t[1].view(np.uint64)), kind="stable")] for t in (a, b))
-    x, y = a[1].view(np.uint64), b[1].view(np.uint64)
-    ones = np.bitwise_count(y).astype(np.int64)
-    for i in range(0, len(x), _BLOCK):
-        part = x[i : i + _BLOCK]
-        low, high = int(np.bitwise_count(part[0])), int(np.bitwise_count(part[-1]))
-        begin, end = np.searchsorted(ones, low - radius), np.searchsorted(ones, high + radius, "right")
-        for j in range(begin, end, 4096):
-            p, q = np.nonzero(np.bitwise_count(part[:, None] ^ y[None, j : min(j + 4096, end)]) <= radius)
-            left, right = a[:, p + i], b[:, q + j]
-            small, large = np.minimum(left[2], right[2]), np.maximum(left[2], right[2])
-            fit = (small >= SIMILAR * large) & (left[0] != right[0])
-            yield np.minimum(left[0], right[0])[fit], np.maximum(left[0], right[0])[fit]
-
-
-def near_pairs(texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``a``, ``b`` (a < b): every pair of nodes whose fingerprints are at most ``radius``
-    bits apart and whose sizes allow the similarity, from ``node``, ``fp``, ``size``."""
-    step = float(np.log(1 / SIMILAR) / _STEPS)
-    placed = texts.filter("size > 0").withColumn("c", F.floor(F.log("size") / step).cast("int"))
-    counts = placed.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("slots"))
-    counts = written(counts, "sizes")
-    placed = placed.join(F.broadcast(counts), "c").withColumn(
-        "s", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
+    found = rows.mapInArrow(scan, f"row {kind}, digest binary, size long, fp binary")
+    return found.withColumn("n", F.monotonically_increasing_id())
+
+
+def _frequent(rows: DataFrame, total: int) -> np.ndarray:
+    """Hashes that many texts of a sample hold, sorted; at most ``_MOST_FREQUENT``."""
+    part = F.pmod(F.xxhash64("digest"), F.lit(max(1, total // SAMPLE))) == 0
+
+    def explode(batches):
+        for batch in batches:
+            every = [h for h, _ in shingle_sets(batch.column(0))]
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], ["h"])
+
+    counted = _texts(rows.filter(part)).mapInArrow(explode, "h long").groupBy("h").count()
+    most = counted.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(_MOST_FREQUENT)
+    return np.sort(np.array([r["h"] for r in most.collect()], dtype=np.int64).view(np.uint64))
+
+
+def _shared(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``key``, ``digest``: the prefix shingles that more than one text holds."""
+    often = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def keys(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            found, names, hot = [], [], []
+            for (hashes, _), digest in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist()):
+                if digest not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    found.append(prefix(hashes, often.value))
+                    names.append(digest)
+            if found:
+                every = np.concatenate(found)
+                counts = np.array([len(f) for f in found])
+                owner = np.repeat(np.arange(len(names)), counts)
+                hot = np.isin(every, often.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(every.view(np.int64)), pa.array(names, pa.binary()).take(pa.array(owner)), pa.array(hot)],
+                    ["key", "digest", "hot"],
+                )
+
+    def twice(batches):
+        """Groups of two texts or more, without repeats; rows pass through."""
+        last, first = None, None
+        for batch in batches:
+            key, digest = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            keep = []
+            for k, d in zip(key.tolist(), digest):
+                if last is None or last[0] != k:
+                    last, first = (k, d), d
+                elif last[1] != d:
+                    if first is not None:
+                        keep.append((k, first))
+                        first = None
+                    keep.append((k, d))
+                    last = (k, d)
+            columns = list(zip(*keep)) or [(), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["key", "digest"]
+            )
+
+    sent = written(_texts(rows.filter(F.col("size") > 1), "digest").mapInArrow(keys, "key long, digest binary, hot boolean"), "keys")
+    rare = sent.filter("not hot").select("key", "digest").repartition("key").sortWithinPartitions("key", "digest")
+    hot = sent.filter("hot").select("key", "digest").distinct()
+    return rare.mapInArrow(twice, "key long, digest binary").unionByName(hot)
+
+
+def _grouped(shared: DataFrame, tile: int) -> DataFrame:
+    """The rows (``key``, ``digest``, ...) with ``part``, the group that a task compares:
+    those of a key, or of a pair of its tiles."""
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    large = written(
+        sizes.filter(F.col("rows") > tile).select("key", F.ceil(F.col("rows") / tile).cast("int").alias("slots")), "large"
     )
-    one = counts.select(F.col("c").alias("c1"), F.explode(F.expr("sequence(0, slots - 1)")).alias("s1"))
-    # one step more than the ratio has: classes are cut downwards
-    near = one.select("*", F.explode(F.expr(f"sequence(c1, c1 + {_STEPS + 1})")).alias("c2"))
-    pairs = near.join(counts.select(F.col("c").alias("c2"), F.col("slots").alias("m")), "c2").select(
-        "c1", "s1", "c2", F.explode(F.expr("sequence(0, m - 1)")).alias("s2")
+    placed = shared.join(large, "key", "left")
+    slot = F.pmod(F.xxhash64("digest"), F.col("slots")).cast("int")
+    # every pair (p <= q) that the slot is one of
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("slots") - 1),
+        lambda s: F.greatest(s, slot) * F.lit(1 << 32) + F.least(s, slot),
     )
-    pairs = pairs.filter("c1 < c2 or s1 <= s2").withColumn("pair", F.xxhash64("c1", "s1", "c2", "s2"))
-    end = [F.struct(F.col(f"c{k}").alias("c"), F.col(f"s{k}").alias("s"), F.lit(k).alias("side")) for k in (1, 2)]
-    ends = pairs.select("pair", F.explode(F.array(*end)).alias("e")).select("pair", "e.*")
-    sent = placed.join(ends, ["c", "s"]).select("pair", "side", "node", "fp", "size")
+    parts = F.when(F.col("slots").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pair)
+    return placed.withColumn("part", F.explode(parts)).drop("slots")
+
+
+def _distances(prints: np.ndarray, ones: np.ndarray, i: int, radius: int) -> tuple[int, np.ndarray]:
+    """Bits between item ``i`` and those whose population counts allow the radius, by
+    the first of these; ``ones`` ascend."""
+    begin = int(np.searchsorted(ones, ones[i] - radius))
+    end = int(np.searchsorted(ones, ones[i] + radius, side="right"))
+    return begin, np.bitwise_count(prints[begin:end] ^ prints[i]).sum(axis=1, dtype=np.int64)
+
+
+def near_forest(prints: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs that span what pairs within the radius, of sizes that allow the similarity,
+    join: to each text the nearest of those before it."""
+    ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    prints, ones, sizes = prints[order], ones[order], sizes[order]
+    far = 64 * LANES + 1
+    best, parent = np.full(len(ones), far), np.full(len(ones), -1)
+    waiting = np.ones(len(ones), dtype=bool)
+    out = []
+    i = 0
+    while True:
+        waiting[i] = False
+        if parent[i] >= 0:
+            out.append((int(order[parent[i]]), int(order[i])))
+        begin, bits = _distances(prints, ones, i, radius)
+        reach = slice(begin, begin + len(bits))
+        small, large = np.minimum(sizes[reach], sizes[i]), np.maximum(sizes[reach], sizes[i])
+        closer = waiting[reach] & (bits <= radius) & (bits < best[reach]) & (small >= SIMILAR * large)
+        best[reach][closer] = bits[closer]
+        parent[reach][closer] = i
+        best[i] = far
+        i = int(np.argmin(np.where(waiting, best, far + 1)))
+        if not waiting[i]:
+            return out
+
+
+def near_pairs(prints: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int):
+    """All pairs within the radius that are not joined yet (different ``roots``)."""
+    ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    prints, ones, sizes, roots = prints[order], ones[order], sizes[order], roots[order]
+    for i in range(len(ones)):
+        begin, bits = _distances(prints, ones, i, radius)
+        reach = slice(begin, begin + len(bits))
+        small, large = np.minimum(sizes[reach], sizes[i]), np.maximum(sizes[reach], sizes[i])
+        found = (bits <= radius) & (roots[reach] != roots[i]) & (small >= SIMILAR * large)
+        for j in np.flatnonzero(found[i - begin :]) + i:
+            yield int(order[i]), int(order[j])
+
+
+def _compared(groups: DataFrame, radius: int, every: bool) -> DataFrame:
+    """``a``, ``b`` (a < b): links of ``node`` from rows ``key``, ``part``, ``node``, ``fp``,
+    ``size``, ``root``; ``every`` lists all pairs of different roots, else a forest."""
+    dealt = groups.select("key", "part", "node", "size", "root", "fp")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+    def pairs(table, fps, a, b):
+        node = table[2, a:b]
+        prints = np.frombuffer(b"".join(fps[a:b]), dtype=np.uint64).reshape(-1, LANES)
+        if every:
+            if (table[4, a:b] == table[4, a]).all():
+                return []
+            return [(node[i], node[j]) for i, j in near_pairs(prints, table[3, a:b], table[4, a:b], radius)]
+        return [(node[i], node[j]) for i, j in near_forest(prints, table[3, a:b], radius)]
 
     def compare(batches):
-        rest = np.zeros((5, 0), dtype=np.int64)
+        rest, held = np.zeros((5, 0), dtype=np.int64), []
+        sent: set[tuple[int, int]] = set()
         for batch in [*batches, None]:
-            part = rest
+            table, fps = rest, held
             if batch is not None:
                 new = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
-                part = np.concatenate([rest, new], axis=1)
-            edges = [0, *(np.flatnonzero(part[0, 1:] != part[0, :-1]) + 1).tolist()]
-            rest = part[:, edges[-1] :]
+                table = np.concatenate([rest, new], axis=1)
+                fps = [*held, *batch.column(5).to_pylist()]
+            change = (table[:2, 1:] != table[:2, :-1]).any(axis=0)
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            rest, held = table[:, edges[-1] :], fps[edges[-1] :]
             if batch is None:
-                edges.append(part.shape[1])
-            for i, j in zip(edges, edges[1:]):
-                group = part[:, i:j]
-                first = group[1] == 1
-                for a, b in _near(group[2:, first], group[2:, ~first], radius):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    dealt = sent.repartition("pair").sortWithinPartitions("pair")
+                edges.append(table.shape[1])
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    for p, q in pairs(table, fps, a, b):
+                        pair = (int(min(p, q)), int(max(p, q)))
+                        if pair not in sent:
+                            if len(sent) >= _SEEN:
+                                sent.clear()
+                            sent.add(pair)
+                            out.append(pair)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``hashes`` of the texts that stand in a pair."""
+    named = _texts(rows.join(nodes, rows["n"] == nodes["node"]), "node")
+
+    def hashed(batches):
+        for batch in batches:
+            found = [h.tobytes() for h, _ in shingle_sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    return named.mapInArrow(hashed, "node long, hashes binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are similar by their shingles."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -147,48 +323,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``hashes`` of the texts that stand in a pair."""
-    named = rows.join(nodes, rows["n"] == nodes["node"]).select(
-        "node", F.col("row.text").cast("string").alias("t")
-    )
-
-    def hashed(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-            found = [shingle_hashes(t.as_py()).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"]
-            )
-
-    return named.mapInArrow(hashed, "node long, hashes binary")
+def similar_links(rows: DataFrame, texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``a``, ``b``: links that join exactly the texts (``node``) that steps of similarity
+    ``SIMILAR`` or more within the radius join, from ``_scanned`` rows and their distinct texts."""
+    frequent = _frequent(rows, texts.count())
+    shared = written(_shared(rows, frequent), "shared")
+    nodes = texts.select("digest", "node", "fp", "size", F.col("node").alias("root"))
+    groups = _grouped(shared.join(nodes, "digest").drop("digest").withColumn("digest", F.col("node")), tile)
+    groups = written(groups.drop("digest", "rows"), "groups")
+    first = written(_compared(groups, radius, every=False), "pairs")
+    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    sets = written(_sets(rows, ends), "sets")
+    good = written(_verified(first, sets), "similar")
+    # pairs that the forest left apart, of texts that it has: others have no partner
+    roots = written(components(good), "joined").toDF("node", "r")
+    again = groups.join(ends, "node", "left_semi").join(roots, "node", "left")
+    again = again.withColumn("root", F.coalesce("r", "root")).drop("r")
+    later = _compared(again, radius, every=True).join(first, ["a", "b"], "left_anti")
+    return good.unionByName(written(_verified(later, sets), "similar"))
 
 
-def keep_one_similar(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def keep_one_similar(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class of texts that steps of
     similarity ``SIMILAR`` or more join, the row with the smallest ``doc_id`` (NULL
     last) stays, exactly one even among ties. Equal words are equal texts; NULL,
-    empty and blank texts are one class.
+    empty and blank texts are one class. An empty table stays empty.
     """
-    rows = written(_scanned(docs).withColumn("n", F.monotonically_increasing_id()), "rows")
+    rows = written(_scanned(docs), "rows")
     texts = rows.groupBy("digest").agg(
         F.min("n").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")
     )
     texts = written(texts, "texts")
-    pairs = written(near_pairs(texts.select("node", "fp", "size"), radius), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_sets(rows, nodes), "sets")
-    # pairs that a part of the others has joined already need no look
-    early = F.pmod(F.xxhash64("a", "b"), F.lit(_FIRST)) == 0
-    first = written(_verified(pairs.filter(early), sets), "similar")
-    joined = written(components(first), "joined")
-    later = pairs.filter(~early)
-    for side in ("a", "b"):
-        root = joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        later = later.join(root, side, "left")
-    later = later.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    links = first.unionByName(written(_verified(later, sets), "similar"))
-    roots = written(components(links), "roots").toDF("node", "root")
+    roots = written(components(similar_links(rows, texts, radius, tile)), "roots").toDF("node", "root")
     named = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     keys = rows.select("digest", F.col("row.doc_id").alias("doc_id"), "n").join(named, "digest")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "n")

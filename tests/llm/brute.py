@@ -107,3 +107,29 @@ def classes(prints, radius=2):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def word_shingles(text, length=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + length]) for i in range(max(len(w) - length + 1, 1))} if w else set()
+
+
+def similar_kept(texts):
+    """Smallest number of each class of texts that are equal or 0.8-similar, by all pairs."""
+    sets = [word_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (
+                min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j]))
+                and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            ):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted({find(i) for i in range(len(texts))})

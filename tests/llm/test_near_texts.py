@@ -3,30 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
-
-def _shingles(text):
-    w = text.lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
-
-
-def _kept(texts):
-    """Smallest number of each class of texts that are equal or 0.8-similar, by all pairs."""
-    sets = [_shingles(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or both and both >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return sorted({find(i) for i in range(len(texts))})
+from packetloom.llm import near_texts
+from tests.llm.brute import similar_kept
 
 
 def test_planted_near_copies_are_removed(spark, make_docs):
@@ -45,6 +25,61 @@ def test_planted_near_copies_are_removed(spark, make_docs):
     texts += ["", "  ", "one two", "one two", "ONE  two"]
     out = corpus_pipeline.near_duplicates(spark, make_docs(texts), "")
     got = sorted(r.doc_id for r in out.collect())
-    want = _kept(texts)
+    want = similar_kept(texts)
     assert len(want) < len(texts) * 0.75
     assert got == want
+
+
+def _near(n, seed):
+    """Copies of one text, each with two words of its own: a dense group."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        copy = base[:]
+        for at in rng.sample(range(200), 2):
+            copy[at] = f"x{i}-{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_dense_groups_in_tiles_and_common_passages(spark, make_docs):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = _near(150, 1)
+    for i in range(120):
+        own = " ".join(f"o{i}-{rng.randrange(10**6)}" for _ in range(rng.choice([5, 12, 30, 90])))
+        texts.append(f"{own} {passage}" if i % 2 else f"{passage} {own}")
+    texts += [texts[0]] * 40
+    got = near_texts.keep_one_similar(make_docs(texts, 4), tile=32)
+    assert sorted(r.doc_id for r in got.collect()) == similar_kept(texts)
+
+
+def test_odd_rows(spark, make_docs):
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [
+        (None, None), (4, None), (2, ""), (2, " \t"), (None, "one two three four five six"),
+        (9, "ONE two three  four five six"), (9, "one two three four five six"), (7, long), (6, long + " end"),
+        (5, "a b"), (5, "a b c"), (8, "a b c d e"),
+    ]
+    docs = make_docs(rows).withColumnsRenamed({"source": "digest", "n_chars": "n", "lang": "row"})
+    out = near_texts.keep_one_similar(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, (r.text or "")[:3]) for r in out.collect()) == [
+        (2, out.filter("doc_id = 2").first().text[:3]), (5, "a b"), (5, "a b"), (6, "w0 "), (8, "a b"), (9, out.filter("doc_id = 9").first().text[:3]),
+    ]
+    assert near_texts.keep_one_similar(docs.limit(0)).collect() == []
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(1)
+    often = np.sort(rng.integers(0, 400, 60).astype(np.uint64))
+    met = 0
+    for _ in range(4000):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64))
+        b = a[rng.random(len(a)) > rng.choice([0.05, 0.15, 0.25])]
+        b = np.unique(np.concatenate([b, rng.integers(0, 400, rng.integers(0, 4)).astype(np.uint64)]))
+        if len(b) and near_texts.similar(a, b):
+            met += 1
+            assert len(np.intersect1d(near_texts.prefix(a, often), near_texts.prefix(b, often)))
+    assert met > 500

@@ -557,11 +557,9 @@ def test_pipeline_against_plain_versions(spark, sf_dir):
         after = docs.collect()
         assert after and {tuple(r) for r in after} <= {tuple(r) for r in before}
         if name == "near_duplicates":
-            root = brute.classes([brute.simhash(r.text) for r in before])
-            first: dict = {}
-            for r, c in zip(before, root):
-                first[c] = min(first.get(c, r.doc_id), r.doc_id)
-            assert sorted(r.doc_id for r in after) == sorted(first.values())
+            before.sort(key=lambda r: r.doc_id)
+            first = brute.similar_kept([r.text for r in before])
+            assert sorted(r.doc_id for r in after) == [before[i].doc_id for i in first]
         if name == "decontamination":
             items: dict = {}
             for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():

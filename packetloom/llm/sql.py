@@ -94,13 +94,23 @@ from d left join x on d.r = x.r left join y on d.r = y.r"""
 # --- lines ------------------------------------------------------------------
 
 _TRIM = r"trim({0}, e' \t\x0b\x0c\r')"
+# DuckDB's distance counts bytes, at most four to a character: it only narrows the pairs;
+# edits are then tried one by one where the characters of two lines first differ
 OP9_SQL = f"""with recursive d as (select doc_id, string_split(coalesce(text, ''), e'\\n') as parts from documents),
 e as (select doc_id, n - 1 as line_no, {_TRIM.format("parts[n]")} as line from (
   select doc_id, parts, unnest(range(1, len(parts) + 1)) as n from d)),
 l as (select * from e where line <> ''),
 u as (select line, length(line) as size, min((doc_id, line_no)) as first from l group by line),
-p as (select a.line as a, b.line as b from u a join u b on b.size between a.size and a.size + {EDITS}
-  and a.line <> b.line and levenshtein(a.line, b.line) <= {EDITS}),
+q as (select a.line as a, b.line as b from u a join u b on b.size between a.size and a.size + {EDITS}
+  and a.line <> b.line and levenshtein(a.line, b.line) <= {4 * EDITS}),
+t as (
+  select a, b, string_split(a, '') as x, string_split(b, '') as y, {EDITS} as k from q
+  union
+  select a, b, x[split + (way <> 'b')::int:], y[split + (way <> 'a')::int:], k - 1 from (
+    select *, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i]), true),
+      least(len(x), len(y)) + 1) as split, unnest(['a', 'b', 'both']) as way
+    from t where k > 0 and x <> y)),
+p as (select distinct a, b from t where x = y),
 links as (select a, b from p union select b, a from p),
 degree as (select a as line, count(*) as n_links from links group by 1),
 reach as (select a as line, a as other from links union select r.line, k.b from reach r join links k on r.other = k.a),

@@ -40,7 +40,7 @@ SAMPLE = 20_000
 FREQUENT = 40
 _MOST_FREQUENT = 100_000
 #: digests that a task remembers so as not to send the keys of copies again
-_SEEN = 200_000
+_SEEN = 100_000
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64
 )
@@ -49,7 +49,7 @@ _MULTIPLIERS = np.array(
 def shingle_sets(column: pa.Array):
     """Per text its sorted distinct shingle hashes and the bytes that it is compared by:
     its words, folded and joined by blanks. Texts of one to four words have one shingle."""
-    for _, texts in text_chunks(column):
+    for _, texts in text_chunks(column, 1 << 19):
         texts = texts.lower()
         words = Words(texts, SPACED)
         each = words.hashes()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.values import clean_number
+from packetloom.operators.bounds import leading_bound
 from packetloom.session import written
 
 _BUCKET = "_order_bucket"
@@ -127,6 +128,12 @@ def _leading(df: DataFrame, order: Sequence[str], n: int, descending: bool) -> D
     """The first ``n`` rows: whole buckets, and a part of one."""
     if n < 0:
         raise ValueError("n must not be negative")
+    if n == 0:
+        return df.limit(0)
+    # all but the rest of one cell stays where it is
+    bound = leading_bound(df, order, n, descending)
+    if bound is not None:
+        df = df.filter(bound)
     cut = with_order_bucket(df, order, descending=descending)
     whole, left = -1, n
     for row in sorted(cut.groupBy(_BUCKET).count().collect()):  # a row per bucket
@@ -143,7 +150,8 @@ def _leading(df: DataFrame, order: Sequence[str], n: int, descending: bool) -> D
 
 
 def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows of an order."""
+    """The first ``n`` rows of an order, NULL first. The order columns are counted before
+    rows are taken: write a table first whose order columns are costly."""
     return _leading(df, order, n, descending=False)
 
 
@@ -153,7 +161,15 @@ def last_n(df: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ())
         raise ValueError("n must not be negative")
     if not by:
         return _leading(df, order, n, descending=True)
-    ranked = with_rank(df, order, by, name="_rank", descending=True)
+    if n == 0:
+        return df.limit(0)
+    # a group's newest are newest in their slot, too: Spark drops the others before the
+    # shuffle, and slots spread a group that holds much of the table
+    slot = F.pmod(F.xxhash64(*order), F.lit(default_buckets(df)))
+    keys = [F.col(c).desc() for c in order]
+    early = Window.partitionBy(*by, slot).orderBy(*keys)
+    few = df.withColumn("_early", F.row_number().over(early)).filter(F.col("_early") <= n)
+    ranked = with_rank(few.drop("_early"), order, by, name="_rank", descending=True)
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 

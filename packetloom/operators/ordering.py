@@ -26,6 +26,8 @@ _TIE = "_order_tie"
 #: rows of the last hash slice, which one task sorts
 _SLICE_ROWS = 10_000
 _SLICE_DIGITS = 3
+#: rows per group up to which Spark limits them before a shuffle
+_FEW = 1000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -169,7 +171,12 @@ def last_n(df: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ())
     keys = [F.col(c).desc() for c in order]
     early = Window.partitionBy(*by, slot).orderBy(*keys)
     few = df.withColumn("_early", F.row_number().over(early)).filter(F.col("_early") <= n)
-    ranked = with_rank(few.drop("_early"), order, by, name="_rank", descending=True)
+    if n <= _FEW:
+        # at most n rows of each slot reach the task of a group
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
+        ranked = few.drop("_early").withColumn("_rank", rank)
+    else:
+        ranked = with_rank(few.drop("_early"), order, by, name="_rank", descending=True)
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 

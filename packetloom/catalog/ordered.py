@@ -26,6 +26,7 @@ from packetloom.operators.balance import (
     synthetic_rows,
 )
 from packetloom.operators.features import engineer_features
+from packetloom.operators.neighbours import nearest_by_pivots
 
 _EVENT_ORDER = ["ts", "event_id"]
 
@@ -445,6 +446,21 @@ def _(spark, d):
     return rounded(near)
 
 
+@query(
+    "d2_nearest_pruned",
+    """with c as (select c_custkey, c_mktsegment, c_acctbal::double as x, c_nationkey * 100::double as y from customer),
+p as (select a.c_custkey, a.c_mktsegment, b.c_custkey as neighbour, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 as distance
+  from c a join c b on a.c_mktsegment = b.c_mktsegment and a.c_custkey <> b.c_custkey)
+select c_custkey, c_mktsegment, neighbour, round(distance, 6) as distance,
+  cast(row_number() over (partition by c_custkey order by distance, neighbour) as int) as rank
+from p qualify rank <= 5""",
+)
+def _(spark, d):
+    x = F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey") * 100.0)
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", x.alias("x"))
+    return rounded(nearest_by_pivots(rows, "c_custkey", "c_mktsegment", "x", 5, cell_rows=60))
+
+
 _SMOTE_SQL = f"""with {_NEAR_SQL},
 c as (select label, count(*) as n from embeddings group by 1),
 s as (select label, n, unnest(range(1, (select max(n) from c) - n + 1)) as slot from c),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.operators.evaluation import class_counts
+from packetloom.operators.neighbours import nearest_by_pivots, squared_distances
 from packetloom.operators.ordering import (
     hash_cuts,
     hash_order,
@@ -68,14 +69,6 @@ def stratified_split(
     return marked.withColumn("is_test", test).drop("_class", "_cut")
 
 
-def _squared_distances(queries: np.ndarray, others: np.ndarray):
-    """(first query row, distances to all others), some query rows at a time."""
-    rows = max(1, 4_000_000 // max(1, others.size))
-    for start in range(0, len(queries), rows):
-        part = queries[start : start + rows]
-        yield start, ((part[:, None, :] - others[None, :, :]) ** 2).sum(axis=2)
-
-
 def nearest_in_class(
     df: DataFrame,
     key: str,
@@ -107,37 +100,6 @@ def nearest_in_class(
     return _best_of_blocks(left, right, key, label, k)
 
 
-def nearest_in_class_approx(
-    df: DataFrame,
-    key: str,
-    label: str,
-    features: str,
-    k: int = SMOTE_NEIGHBOURS,
-    block_rows: int = 2_000,
-    seed: int = 0,
-) -> DataFrame:
-    """Near rows of the same class, in the columns of ``nearest_in_class``.
-
-    The rows of a class are ordered along a seeded projection and cut into
-    blocks; a row is compared with its own block and the two beside it. So the
-    work follows the class, and the result misses neighbours that lie apart
-    along the projection.
-    """
-    weight = F.transform("_x", lambda _, i: F.pmod(F.xxhash64(i + seed), F.lit(2001)) / 1000.0 - 1.0)
-    products = F.zip_with("_x", weight, lambda x, w: x * w)
-    placed = (
-        df.filter(F.col(label).isNotNull())
-        .select(key, label, F.col(features).cast("array<double>").alias("_x"))
-        .withColumn("_along", F.aggregate(products, F.lit(0.0), lambda a, p: a + p))
-    )
-    ranked = with_rank(placed, ["_along", key], [label], name="_pos")
-    rows = ranked.withColumn("_own", F.floor((F.col("_pos") - 1) / block_rows))
-    beside = F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1))
-    left = rows.select(key, label, "_x", F.col("_own").alias("_q"), beside.alias("_c"))
-    right = rows.select(key, label, "_x", F.col("_own").alias("_c"), beside.alias("_q"))
-    return _best_of_blocks(left, right, key, label, k)
-
-
 def _best_of_blocks(left: DataFrame, right: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """The ``k`` nearest ``right`` rows of every ``left`` row, over the pairs of
     blocks (label, _q, _c) that both have."""
@@ -153,7 +115,7 @@ def _best_of_blocks(left: DataFrame, right: DataFrame, key: str, label: str, k:
             ids = theirs[key].to_numpy()
             own = mine[key].to_numpy()
             a, b = np.stack(mine["_x"].to_numpy()), np.stack(theirs["_x"].to_numpy())
-            for start, gap in _squared_distances(a, b):
+            for start, gap in squared_distances(a, b):
                 part = own[start : start + len(gap)]
                 gap[part[:, None] == ids[None, :]] = np.inf
                 best = np.argsort(gap, axis=1, kind="stable")[:, :k]
@@ -249,7 +211,7 @@ def synthetic_rows(
         (F.pmod(F.col("slot") * 15485863 + code * 32452843 + seed, F.lit(1000)) / 1000.0).alias("_u"),
     )
     numbered = with_rank(rows, [key], [label], name="_pos").withColumn("_at", F.col("_pos") - 1)
-    search = {"exact": nearest_in_class, "approximate": nearest_in_class_approx}
+    search = {"exact": nearest_in_class, "pruned": nearest_by_pivots}
     if neighbours not in search:
         raise ValueError(f"unknown kind of neighbours: {neighbours}")
     near = search[neighbours](rows, key, label, features, k).select(
@@ -284,8 +246,8 @@ def smote(
 ) -> DataFrame:
     """The rows (label, features, synthetic) with small classes filled up.
 
-    ``neighbours='approximate'`` looks for them in blocks along a projection:
-    work in proportion to a class, for classes too large for all pairs.
+    ``neighbours='pruned'`` gives the same rows and compares only what pivots cannot
+    exclude: for large classes whose rows lie in clusters or few dimensions.
     """
     extra, k = smote_plan(known_classes(df, label), target, when_empty)
     original = df.select(

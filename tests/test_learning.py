@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from packetloom.operators import explain as X
 from packetloom.operators.balance import (
     nearest_in_class,
-    nearest_in_class_approx,
     smote,
     smote_plan,
     split_quotas,
@@ -101,16 +100,11 @@ def test_neighbours_against_all_pairs(spark):
         assert [got[(i, r)] for r in (1, 2, 3)] == best
 
 
-def test_approximate_neighbours_are_mostly_right(spark):
-    rng = np.random.default_rng(2)
-    frame = spark.createDataFrame(
-        [(i, i % 2, [float(v) for v in rng.normal(size=2)]) for i in range(400)],
-        "id long, c int, x array<double>",
-    )
-    exact = {(r["id"], r["neighbour"]) for r in nearest_in_class(frame, "id", "c", "x", 3).collect()}
-    near = nearest_in_class_approx(frame, "id", "c", "x", 3, block_rows=40).collect()
-    assert len(near) == 1200
-    assert len(exact & {(r["id"], r["neighbour"]) for r in near}) > 0.7 * len(exact)
+def test_pruned_neighbours_give_the_same_rows(flows):
+    rows = flows.select("flow_id", "y", F.array("flow_packets_per_sec", "down_up_ratio").alias("x"))
+    exact = smote(rows, "flow_id", "y", "x").filter("synthetic")
+    pruned = smote(rows, "flow_id", "y", "x", neighbours="pruned").filter("synthetic")
+    assert exact.count() and exact.exceptAll(pruned).isEmpty() and pruned.exceptAll(exact).isEmpty()
 
 
 def test_smote_rows_lie_between_rows_of_their_class(flows):

@@ -320,10 +320,12 @@ def score(docs: DataFrame, model: LineModel) -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("t"))
     kind = rows.schema["row"].dataType.simpleString()
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: executors need not know the class by name
+    plain = (model.mean, model.scale, model.weights, model.link)
+    spread = docs.sparkSession.sparkContext.broadcast(plain)
 
     def scan(batches):
-        fitted = spread.value
+        fitted = LineModel(*spread.value)
         for batch in batches:
             found = [fitted.document_scores(line_features(t)) for _, t in text_chunks(batch.column(1))]
             scores = np.concatenate(found) if found else np.zeros(0)

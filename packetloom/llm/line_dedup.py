@@ -202,8 +202,14 @@ def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     )
     met = written(met, "met")
     if met.count() <= _BROADCAST_KEYS:
-        met = F.broadcast(met)
-    live = written(entered.join(met, "key", "left_semi").distinct(), "live")
+        live = entered.join(F.broadcast(met), "key", "left_semi").distinct()
+    else:
+        # keys are shuffled alone; each line's text follows once, not once a key
+        hits = entered.select("key", "id", "role").join(met, "key", "left_semi").distinct()
+        hits = written(hits, "hits")
+        texts = lines.select(F.xxhash64("line").alias("id"), "line").filter(F.length("line") >= least)
+        live = hits.join(texts.join(hits.select("id"), "id", "left_semi").distinct(), "id")
+    live = written(live.select("key", "id", "line", "role"), "live")
     counts = [
         (F.length("line") - F.length(F.translate("line", s, ""))).alias(f"n{i}")
         for i, s in enumerate(_LETTERS)

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from packetloom.llm import line_dedup
 from packetloom.llm.line_dedup import near_links, with_removed_lines
 
 
@@ -14,7 +17,9 @@ def _distance(a, b):
     return row[-1]
 
 
-def test_short_lines_are_linked(spark):
+@pytest.mark.parametrize("broadcast_keys", [line_dedup._BROADCAST_KEYS, 0])
+def test_short_lines_are_linked(spark, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(line_dedup, "_BROADCAST_KEYS", broadcast_keys)
     rng = random.Random(3)
     lines = {"a", "b", "ab", "\u00e9t\u00e9"}
     for _ in range(60):

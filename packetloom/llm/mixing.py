@@ -26,6 +26,8 @@ _KEY_BITS = 62
 _SLICE_BITS = 12
 #: documents that the last, exact step of a pattern looks at
 _BOUNDARY = 1024
+#: documents a pattern may add after it to end nearer to its flow
+_NEAREST = 6
 
 Source = str | None
 
@@ -198,9 +200,52 @@ def _with_extra(units: DataFrame, rest: dict[str, int], counts: dict[str, int])
         F.expr(
             "aggregate(docs, named_struct('left', _left, 'keys', cast(array() as array<bigint>)), "
             "(s, d) -> case when d.w <= s.left then named_struct('left', s.left - d.w, "
-            "'keys', concat(s.keys, array(d._key))) else s end, s -> s.keys)"
-        ).alias("_more"),
-    )
+            "'keys', concat(s.keys, array(d._key))) else s end)"
+        ).alias("filled"),
+    ).select("_pattern", "_low", F.col("filled.keys").alias("_more"), F.col("filled.left").alias("_left"))
+
+
+def _filled() -> Column:
+    """1 for the documents that the hash order and first fit take once more."""
+    return F.when((F.col("_key") < F.col("_low")) | F.array_contains("_more", F.col("_key")), 1).otherwise(0)
+
+
+def _nearest(units: DataFrame, extra: DataFrame, bases: dict[str, int], repeats: int) -> dict[str, list[int]]:
+    """Keys of documents that each pattern takes once more, to end near its flow.
+
+    Up to ``_NEAREST`` times the largest document that fits the words still missing
+    is added. Before each of them, the smallest one that would pass the flow is a
+    possible end; of all the ends seen the nearest is taken, above or below. A
+    document that has been taken may be repeated, but not beyond ``repeats``. Per
+    pattern and turn one row reaches the driver.
+    """
+    spark = units.sparkSession
+    left = {r["_pattern"]: r["_left"] for r in extra.select("_pattern", "_left").collect() if r["_left"]}
+    added: dict[str, list[int]] = {p: [] for p in left}
+    ends = {p: (w, []) for p, w in left.items()}
+    for _ in range(_NEAREST):
+        if not left:
+            break
+        state = [(p, w, bases[p], added[p]) for p, w in sorted(left.items())]
+        table = spark.createDataFrame(state, "_pattern string, _open long, _base int, _again array<long>")
+        both = F.broadcast(extra.drop("_left").join(table, "_pattern"))
+        times = F.col("_base") + _filled() + F.size(F.filter("_again", lambda k: k == F.col("_key")))
+        free = units.join(both, "_pattern").filter(times < repeats).filter("_size > 0")
+        whole = free.groupBy("_pattern", "_open", "_key").agg(F.sum("_size").alias("w"))
+        best = whole.groupBy("_pattern").agg(
+            F.max(F.when(F.col("w") <= F.col("_open"), F.struct("w", "_key"))).alias("below"),
+            F.min(F.when(F.col("w") > F.col("_open"), F.struct("w", "_key"))).alias("above"),
+        )
+        before, left = left, {}
+        for p, below, above in best.collect():
+            if above:
+                ends[p] = min(ends[p], (above[0] - before[p], [*added[p], above[1]]))
+            if below:
+                added[p] = [*added[p], below[1]]
+                ends[p] = min(ends[p], (before[p] - below[0], added[p]))
+                if before[p] > below[0]:
+                    left[p] = before[p] - below[0]
+    return {p: keys for p, (_, keys) in ends.items() if keys}
 
 
 def mix(
@@ -264,12 +309,16 @@ def mix(
     plans = F.broadcast(spark.createDataFrame(plan, f"_pattern string, _base int, _credit {kind}"))
     extra = _with_extra(table.select("_pattern", "_key", "_size"), rest, counts)
     extra = written(extra, "extra")  # small or not, its size is known to Spark
-    times = F.col("_base") + F.when(
-        (F.col("_key") < F.col("_low")) | F.array_contains("_more", F.col("_key")), 1
-    ).otherwise(0)
+    bases = {pattern: base for pattern, base, _ in plan}
+    again = _nearest(table.select("_pattern", "_key", "_size"), extra, bases, repeats)
+    # at most one row a pattern, of at most _NEAREST keys
+    once = F.broadcast(spark.createDataFrame(sorted(again.items()), "_pattern string, _again array<long>"))
+    more = F.coalesce(F.size(F.filter("_again", lambda k: k == F.col("_key"))), F.lit(0))
+    times = F.col("_base") + _filled() + F.when(F.col("_again").isNull(), 0).otherwise(more)
     picked = (
         table.join(plans, "_pattern")
         .join(extra, "_pattern", "left")
+        .join(once, "_pattern", "left")
         .select("row", F.col("_size").alias("size"), times.alias("times"), "_credit")
         .withColumn("taken", F.col("size") * F.col("times"))
     )

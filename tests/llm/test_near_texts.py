@@ -83,3 +83,14 @@ def test_prefixes_of_similar_sets_meet():
             met += 1
             assert len(np.intersect1d(near_texts.prefix(a, often), near_texts.prefix(b, often)))
     assert met > 500
+
+
+def test_signatures_follow_the_similarity():
+    rng = np.random.default_rng(9)
+    for n in (5, 40, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate([a[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+        same = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        agree = (near_texts.signature(a) == near_texts.signature(b)).sum() / near_texts.SIGNATURE
+        assert abs(agree - same) < 0.11
+        assert (near_texts.signature(a) == near_texts.signature(a[::-1])).all()

@@ -40,6 +40,7 @@ from packetloom.sources.csv import (
 from packetloom.sources.events import read_replay_json, write_events_json, write_replay_json
 from packetloom.sources.reports import read_reports, report_path, write_report
 from packetloom.streaming.rates import rate_limit_stream
+from packetloom.streaming.rolling import rolling_stream
 from packetloom.streaming.sinks import finish, drain, drain_totals, on_batch, replace_batch
 from packetloom.streaming.statistics import (
     closing_row,
@@ -125,6 +126,23 @@ def _(spark, d):
     return spark.read.schema(alerts.schema).parquet(f"{path}/rows").drop("batch_id")
 
 
+_LAST = "over (partition by client order by ts, request_id rows between 99 preceding and current row)"
+
+
+@query(
+    "k2_stream_rolling_latency",
+    f"with {REQUESTS_SQL}, r as (select *, case when isfinite(duration_ms) then duration_ms else 0 end as v "
+    f"from requests) select request_id, client, round(avg(v) {_LAST}, 9) as rolling_avg, "
+    f"round(min(v) {_LAST}, 9) as rolling_min, round(max(v) {_LAST}, 9) as rolling_max, "
+    f"round(quantile_cont(v, 0.95) {_LAST}, 9) as rolling_p from r",
+)
+def _(spark, d):
+    rows = _request_stream(spark, d, "2 minutes")
+    out = rolling_stream(rows, "client", "request_id", "duration_ms", size=100, delay="1 minute")
+    # hundredths over at most 100 rows are never half of the ninth digit
+    return rounded(drain(out, spark, "rolling"), 9)
+
+
 _LATE = "11 days"
 
 

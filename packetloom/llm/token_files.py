@@ -21,16 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.session import scratch_path
 
-#: bytes of text whose ids one block holds at most, but for longer documents
+#: ids of one block at most, but for longer documents
 BLOCK_IDS = 1 << 18
-#: pieces that an encoder remembers, twice over (some 150 bytes each)
-_CACHED_PIECES = 700_000
+#: stems that an encoder remembers, twice over (some 200 bytes each)
+_CACHED_STEMS = 250_000
 _LONGEST_WORD = 64
+#: bytes of text that are encoded at once, but for longer documents
+_CHUNK = 1 << 22
+#: these follow a word of letters as one piece; no apostrophe, which may begin a suffix
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class CachedEncoder:
@@ -39,16 +44,22 @@ class CachedEncoder:
     Sound for tokenizers that drop white space, fold case, cut words of letters
     from all other characters and mark the ends of words by ``</w>``: pieces
     between blanks are then independent, so each is encoded once and remembered.
-    A piece that ends in a comma or full stop after a letter is two of them, and
-    an ASCII piece is that of its lower case, unless that holds an added token:
-    these are matched before case is folded.
+    Letters and the marks behind them are two pieces, and an ASCII piece is that of
+    its lower case, unless it holds an added token in any case: these are matched
+    before case is folded. Only such stems and marks are kept.
+
+    A column is cut into pieces, and the ids put together, by Arrow; Python sees
+    the different pieces of a chunk alone.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # for words that are lower-case ASCII letters: nothing to normalise or to cut
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -62,9 +73,10 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str], plain: bool) -> list[bytes]:
         """Words of letters, encoded as one text and cut at the ends of words."""
-        whole = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        tokenizer = self.plain if plain else self.tokenizer
+        whole = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.array(whole[0].ids, dtype=self.kind)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
@@ -75,68 +87,104 @@ class CachedEncoder:
     def _learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
         again = {w for w in new if w in older}
-        known.update((piece, older[piece]) for piece in again)
-        split = {}
-        for piece in new - again:
-            stem, mark = piece, ""
-            if piece[-1] in ",." and piece[-2:-1].isalpha():
-                stem, mark = piece[:-1], piece[-1]
-            if stem.isascii():
-                folded = stem.lower()
-                if not any(t in folded for t in self.added):
-                    stem = folded
-            if (stem, mark) != (piece, ""):
-                split[piece] = stem, mark
-        needed = {w for parts in split.values() for w in parts} | (new - again - split.keys())
-        missing = sorted(w for w in needed if w not in known)
-        words = [w for w in missing if w.isalpha()]
-        others = [w for w in missing if not w.isalpha()]
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            known.update(zip(part, self._together(part)))
+        known.update((w, older[w]) for w in again)
+        missing = new - again
+        words, plain, others = [], [], []
+        for w in missing:
+            kind = others if not w.isalpha() else plain if w.isascii() and w.islower() else words
+            kind.append(w)
+        for kind in (words, plain):
+            for i in range(0, len(kind), 1000):
+                part = kind[i : i + 1000]
+                known.update(zip(part, self._together(part, kind is plain)))
         if others:
             known.update(zip(others, self._each(others)))
-        for piece, (stem, mark) in split.items():
-            known[piece] = known[stem] + known[mark]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHED_PIECES:  # what is in use comes back from older
+    def _ids(self, stems: list[str]) -> list[bytes]:
+        if len(self.known) > _CACHED_STEMS:  # what is in use comes back from older
             self.known, self.older = {"": b""}, self.known
         known = self.known
-        # asked word by word: a difference would walk through all that is known
-        new = {w for w in set().union(*split) if w not in known}
+        found = list(map(known.get, stems))
+        new = {stems[i] for i, ids in enumerate(found) if ids is None}
         if new:
             self._learn(new)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for word in new:
-            if len(word) > _LONGEST_WORD:  # rare and large: not kept
-                del known[word]
-        return out
+            found = [known[s] if ids is None else ids for s, ids in zip(stems, found)]
+            for word in new:
+                if len(word) > _LONGEST_WORD:  # rare and large: not kept
+                    del known[word]
+        return found
+
+    def _looked_up(self, column: pa.Array) -> pa.Array:
+        each = column.dictionary_encode()
+        # to_numpy makes the strings in one pass, to_pylist a scalar first for each
+        stems = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return pa.array(self._ids(stems), pa.large_binary()).take(each.indices)
+
+    def _piece_ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces, each as its stem, folded where that is sound, and
+        the marks behind it."""
+        special = pa.array(np.zeros(len(pieces), dtype=bool))
+        for token in self.added:
+            special = pc.or_(special, pc.match_substring(pieces, token, ignore_case=True))
+        cut = pc.ascii_rtrim(pieces, _MARKS)
+        letters = pc.and_not(pc.utf8_is_alpha(cut), special)
+        stems = pc.if_else(letters, cut, pieces)
+        folded = pc.and_not(pc.string_is_ascii(stems), special)
+        ids = self._looked_up(pc.if_else(folded, pc.ascii_lower(stems), stems))
+        # marks are ASCII: as many characters as bytes
+        sizes = pc.binary_length(pieces).to_numpy() - pc.binary_length(stems).to_numpy()
+        marked = np.flatnonzero(sizes)
+        if not len(marked):
+            return ids
+        ends = pieces.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()
+        marks = pa.array([p[-n:] for p, n in zip(ends, sizes[marked].tolist())], pa.string())
+        at = np.zeros(len(pieces), dtype=np.int32)
+        at[marked] = 1 + np.arange(len(marked), dtype=np.int32)
+        behind = pa.concat_arrays([pa.array([b""], pa.large_binary()), self._looked_up(marks)])
+        return pc.binary_join_element_wise(ids, behind.take(pa.array(at)), pa.scalar(b"", pa.large_binary()))
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of every text of a string column, with ``end`` behind them."""
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        found = pa.concat_arrays([self._piece_ids(coded.dictionary), pa.array([end], pa.large_binary())])
+        bounds = pieces.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        at = np.insert(coded.indices.to_numpy(), bounds[1:], len(found) - 1)
+        ids = found.take(pa.array(at))
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[bounds + np.arange(len(bounds))]
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(texts), [None, pa.py_buffer(ends), ids.buffers()[2]]
+        ).cast(pa.binary())
+
+    def forget(self) -> None:
+        """Drop what was learnt: an idle worker shall not hold it while others work."""
+        self.known, self.older = {"": b""}, {}
+        pa.default_memory_pool().release_unused()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text."""
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
 
 
 def _worker_encoder(path: str) -> CachedEncoder:
-    """The encoder of this worker process, which Spark uses for many tasks: what
-    it has learnt carries over. Functions travel by value, so it is kept under a
-    module name of its own."""
+    """The encoder of this worker process, which Spark uses for many tasks. Functions
+    travel by value, so it is kept under a module name of its own."""
     kept = sys.modules.setdefault("packetloom_worker", types.ModuleType("packetloom_worker"))
     if getattr(kept, "encoder_path", None) != path:
         kept.encoder, kept.encoder_path = CachedEncoder(path), path
     return kept.encoder
 
 
-def _text_groups(texts: list[str], limit: int = 1 << 20):
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _text_groups(texts: pa.Array, limit: int = _CHUNK):
+    """Slices of about ``limit`` bytes of text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -150,11 +198,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder = _worker_encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [i + end for group in _text_groups(texts) for i in encoder.encode(group)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-            )
+            begin = 0
+            for texts in _text_groups(batch.column(1).fill_null("")):
+                ids = encoder.encode_column(texts, end)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(begin, len(ids)), ids], ["doc_id", "ids"]
+                )
+                begin += len(ids)
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,20 @@ def test_encoder_keeps_the_case_of_added_tokens():
         assert np.frombuffer(ids, encoder.kind).tolist() == want, text
 
 
+def test_encoder_keeps_stems_and_forgets_them():
+    encoder = CachedEncoder(queries.tokenizer_path())
+    texts = ["Zorbl zorbl, zorbl. ZORBL*** zorbl%%%.", "\u00c9a\u00e9!? J\u030c, jK-- x'.'s 1.", "", None, "aa\nbb"]
+    column = pa.array(texts, pa.string()).fill_null("")
+    got = encoder.encode_column(column, b"\x02\x00").to_pylist()
+    for text, ids in zip(column.to_pylist(), got):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*want, 2], text
+    assert [w for w in encoder.known if "zorbl" in w.lower()] == ["zorbl"]
+    encoder.forget()
+    assert list(encoder.known) == [""] and not encoder.older
+    assert encoder.encode(texts[:1]) == [got[0][:-2]]
+
+
 # --- near duplicates --------------------------------------------------------
 
 

@@ -5,10 +5,13 @@ sets of a Jaccard similarity of 0.8 share one of the first n - ceil(0.8 n) + 1 o
 so texts meet in the groups of these. Shingles that very many texts hold come last in
 the order: they form groups only where a text has little else.
 
+A first round takes each text in the group of its first shingle alone, where most
+copies already meet; later rounds take what it joined as one.
+
 Inside a group fingerprints of 256 bits are compared by exclusive-or and bit counts,
 those first whose population counts allow it; groups larger than a tile go out as
 pairs of tiles. Of the pairs within the radius a task passes on a spanning forest, the
-nearest first. These are verified by their shingles. What they join needs no other
+nearest first; texts that are joined already cost no link of it. These are verified by their shingles. What they join needs no other
 look; pairs that they left apart must also agree in their signatures of least hashes
 before they are listed and verified one by one. A group of near copies costs a link
 per text, and one of texts that only come near the limit is compared in its task.
@@ -47,6 +50,8 @@ FREQUENT = 40
 _MOST_FREQUENT = 100_000
 #: digests that a task remembers so as not to send the keys of copies again
 _SEEN = 100_000
+#: hashes that a task hands over at once
+_SENT = 1 << 18
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64
 )
@@ -139,14 +144,26 @@ def _scanned(docs: DataFrame) -> DataFrame:
     return found.withColumn("n", F.monotonically_increasing_id())
 
 
+def _filled(sets, limit: int = _SENT):
+    """Lists of consecutive sets with some ``limit`` hashes together."""
+    held, size = [], 0
+    for hashes in sets:
+        held.append(hashes)
+        size += len(hashes)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _frequent(rows: DataFrame, total: int) -> np.ndarray:
     """Hashes that many texts of a sample hold, sorted; at most ``_MOST_FREQUENT``."""
     part = F.pmod(F.xxhash64("digest"), F.lit(max(1, total // SAMPLE))) == 0
 
     def explode(batches):
         for batch in batches:
-            every = [h for h, _ in shingle_sets(batch.column(0))]
-            if every:
+            for every in _filled(h for h, _ in shingle_sets(batch.column(0))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], ["h"])
 
     counted = _texts(rows.filter(part)).mapInArrow(explode, "h long").groupBy("h").count()
@@ -155,54 +172,60 @@ def _frequent(rows: DataFrame, total: int) -> np.ndarray:
 
 
 def _shared(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``key``, ``digest``: the prefix shingles that more than one text holds."""
+    """``key``, ``digest``, ``lead`` (whether it is the text's first): the prefix shingles
+    that more than one text holds."""
     often = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def keys(batches):
         seen: set[bytes] = set()
-        for batch in batches:
-            found, names, hot = [], [], []
+
+        def new(batch, names):
             for (hashes, _), digest in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist()):
                 if digest not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(digest)
-                    found.append(prefix(hashes, often.value))
                     names.append(digest)
-            if found:
+                    yield prefix(hashes, often.value)
+
+        for batch in batches:
+            names: list[bytes] = []
+            for found in _filled(new(batch, names)):
                 every = np.concatenate(found)
                 counts = np.array([len(f) for f in found])
-                owner = np.repeat(np.arange(len(names)), counts)
-                hot = np.isin(every, often.value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(every.view(np.int64)), pa.array(names, pa.binary()).take(pa.array(owner)), pa.array(hot)],
-                    ["key", "digest", "hot"],
-                )
+                owner = pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(names)), counts)))
+                lead = np.zeros(len(every), dtype=bool)
+                lead[np.cumsum(counts) - counts] = True
+                columns = [pa.array(every.view(np.int64)), owner, pa.array(np.isin(every, often.value)), pa.array(lead)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "hot", "lead"])
+                names.clear()
 
     def twice(batches):
         """Groups of two texts or more, without repeats; rows pass through."""
         last, first = None, None
         for batch in batches:
-            key, digest = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            key, digest, lead = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             keep = []
-            for k, d in zip(key.tolist(), digest):
+            for k, d, at_lead in zip(key.tolist(), digest, lead):
                 if last is None or last[0] != k:
-                    last, first = (k, d), d
+                    last, first = (k, d), (k, d, at_lead)
                 elif last[1] != d:
                     if first is not None:
-                        keep.append((k, first))
+                        keep.append(first)
                         first = None
-                    keep.append((k, d))
+                    keep.append((k, d, at_lead))
                     last = (k, d)
-            columns = list(zip(*keep)) or [(), ()]
+            columns = list(zip(*keep)) or [(), (), ()]
+            kinds = (pa.int64(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["key", "digest"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "digest", "lead"]
             )
 
-    sent = written(_texts(rows.filter(F.col("size") > 1), "digest").mapInArrow(keys, "key long, digest binary, hot boolean"), "keys")
-    rare = sent.filter("not hot").select("key", "digest").repartition("key").sortWithinPartitions("key", "digest")
-    hot = sent.filter("hot").select("key", "digest").distinct()
-    return rare.mapInArrow(twice, "key long, digest binary").unionByName(hot)
+    held = "key long, digest binary, hot boolean, lead boolean"
+    sent = written(_texts(rows.filter(F.col("size") > 1), "digest").mapInArrow(keys, held), "keys")
+    rare = sent.filter("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "digest")
+    hot = sent.filter("hot").drop("hot").distinct()
+    return rare.mapInArrow(twice, "key long, digest binary, lead boolean").unionByName(hot)
 
 
 def _grouped(shared: DataFrame, tile: int) -> DataFrame:
@@ -231,12 +254,16 @@ def _distances(prints: np.ndarray, ones: np.ndarray, i: int, radius: int) -> tup
     return begin, np.bitwise_count(prints[begin:end] ^ prints[i]).sum(axis=1, dtype=np.int64)
 
 
-def near_forest(prints: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def near_forest(
+    prints: np.ndarray, sizes: np.ndarray, radius: int, roots: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Pairs that span what pairs within the radius, of sizes that allow the similarity,
-    join: to each text the nearest of those before it."""
+    join: to each text the nearest of those before it. Texts of one of the ``roots``
+    are joined already, by no pair."""
     ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
     prints, ones, sizes = prints[order], ones[order], sizes[order]
+    roots = np.arange(len(ones)) if roots is None else roots[order]
     far = 64 * LANES + 1
     best, parent = np.full(len(ones), far), np.full(len(ones), -1)
     waiting = np.ones(len(ones), dtype=bool)
@@ -252,6 +279,8 @@ def near_forest(prints: np.ndarray, sizes: np.ndarray, radius: int) -> list[tupl
         closer = waiting[reach] & (bits <= radius) & (bits < best[reach]) & (small >= SIMILAR * large)
         best[reach][closer] = bits[closer]
         parent[reach][closer] = i
+        joined = waiting & (roots == roots[i])
+        best[joined], parent[joined] = -1, -1
         best[i] = far
         i = int(np.argmin(np.where(waiting, best, far + 1)))
         if not waiting[i]:
@@ -285,12 +314,12 @@ def _compared(groups: DataFrame, radius: int, every: bool) -> DataFrame:
         node = table[2, a:b]
         held = np.frombuffer(b"".join(fps[a:b]), dtype=np.uint8).reshape(b - a, -1)
         prints = np.ascontiguousarray(held[:, : 8 * LANES]).view(np.uint64)
+        if (table[4, a:b] == table[4, a]).all():
+            return []
         if every:
-            if (table[4, a:b] == table[4, a]).all():
-                return []
             found = near_pairs(prints, table[3, a:b], table[4, a:b], radius, held[:, 8 * LANES :])
             return [(node[i], node[j]) for i, j in found]
-        return [(node[i], node[j]) for i, j in near_forest(prints, table[3, a:b], radius)]
+        return [(node[i], node[j]) for i, j in near_forest(prints, table[3, a:b], radius, table[4, a:b])]
 
     def compare(batches):
         rest, held = np.zeros((5, 0), dtype=np.int64), []
@@ -358,6 +387,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``node``: the texts that stand in a pair."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _open(groups: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows with the ``root`` of what is joined, without groups of one class: these
+    have nothing left to compare."""
+    placed = groups.join(joined.toDF("node", "r"), "node", "left")
+    placed = placed.withColumn("root", F.coalesce("r", "root")).drop("r")
+    classes = placed.groupBy("key", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(classes.filter("low <> high").select("key", "part"), ["key", "part"], "left_semi")
+
+
 def similar_links(rows: DataFrame, texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``a``, ``b``: links that join exactly the texts (``node``) that steps of similarity
     ``SIMILAR`` or more within the radius join, from ``_scanned`` rows and their distinct texts."""
@@ -366,17 +409,19 @@ def similar_links(rows: DataFrame, texts: DataFrame, radius: int = RADIUS, tile:
     nodes = texts.select("digest", "node", "fp", "size", F.col("node").alias("root"))
     groups = _grouped(shared.join(nodes, "digest").drop("digest").withColumn("digest", F.col("node")), tile)
     groups = written(groups.drop("digest", "rows"), "groups")
-    first = written(_compared(groups, radius, every=False), "pairs")
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    sets = written(_sets(rows, ends), "sets")
-    good = written(_verified(first, sets), "similar")
-    # pairs that the forest left apart, of texts that it has: others have no partner
-    roots = written(components(good), "joined").toDF("node", "r")
-    again = groups.join(ends, "node", "left_semi").join(roots, "node", "left")
-    again = again.withColumn("root", F.coalesce("r", "root")).drop("r")
-    # groups of one class have nothing left to compare
-    classes = again.groupBy("key", "part").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    again = again.join(classes.filter("low <> high").select("key", "part"), ["key", "part"], "left_semi")
+
+    led = written(_compared(groups.filter("lead"), radius, every=False), "pairs")
+    held = _ends(led)
+    sets = written(_sets(rows, held), "sets")
+    copies = written(_verified(led, sets), "similar")
+    # the other groups join what the first shingles left apart
+    met = written(_compared(_open(groups, written(components(copies), "joined")), radius, every=False), "pairs")
+    first = led.unionByName(met).distinct()
+    ends = _ends(first)
+    sets = sets.unionByName(written(_sets(rows, ends.join(held, "node", "left_anti")), "sets"))
+    good = copies.unionByName(written(_verified(met, sets), "similar"))
+    # pairs that the forests left apart, of texts that they have: others have no partner
+    again = _open(groups.join(ends, "node", "left_semi"), written(components(good), "joined"))
     again = again.join(_signatures(sets), "node").withColumn("fp", F.concat("fp", "sign"))
     later = _compared(again, radius, every=True).join(first, ["a", "b"], "left_anti")
     return good.unionByName(written(_verified(later, sets), "similar"))

@@ -94,3 +94,20 @@ def test_signatures_follow_the_similarity():
         agree = (near_texts.signature(a) == near_texts.signature(b)).sum() / near_texts.SIGNATURE
         assert abs(agree - same) < 0.11
         assert (near_texts.signature(a) == near_texts.signature(a[::-1])).all()
+
+
+def test_forest_joins_what_is_joined_already_by_no_pair():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, (1, 4)).astype(np.uint64).repeat(40, axis=0)
+    prints[:, 0] ^= np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64)
+    sizes = np.full(40, 100)
+    assert len(near_texts.near_forest(prints, sizes, 56)) == 39
+    roots = np.arange(40) % 3
+    links = near_texts.near_forest(prints, sizes, 56, roots)
+    assert len(links) == 2 and len({frozenset(int(roots[i]) for i in link) for link in links}) == 2
+    assert near_texts.near_forest(prints, sizes, 56, np.zeros(40, dtype=np.int64)) == []
+
+
+def test_hashes_are_handed_over_in_parts():
+    sets = [np.arange(n) for n in (3, 4, 0, 9, 1)]
+    assert [[len(s) for s in part] for part in near_texts._filled(sets, 6)] == [[3, 4], [0, 9], [1]]

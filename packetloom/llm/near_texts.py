@@ -11,10 +11,13 @@ copies already meet; later rounds take what it joined as one.
 Inside a group fingerprints of 256 bits are compared by exclusive-or and bit counts,
 those first whose population counts allow it; groups larger than a tile go out as
 pairs of tiles. Of the pairs within the radius a task passes on a spanning forest, the
-nearest first; texts that are joined already cost no link of it. These are verified by their shingles. What they join needs no other
-look; pairs that they left apart must also agree in their signatures of least hashes
-before they are listed and verified one by one. A group of near copies costs a link
-per text, and one of texts that only come near the limit is compared in its task.
+nearest first; texts that are joined already cost no link of it.
+
+What these links join is a block: all pairs within the radius lie inside one. A text
+goes once to its block, with its shingles, or once to each pair of the block's tiles.
+There pairs within the radius are verified by their shingles, those already joined
+left out, and the verified links that join something are passed on: at most one a
+text and task, however many texts are near each other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
@@ -37,12 +40,14 @@ LANES = 4
 #: bits of 256: sets at 0.8 differ in 39 on the average (deviation 5.7), so three
 #: deviations reach 99.8 % of pairs right at the limit; unlike sets differ in 128
 RADIUS = 56
-#: texts of one tile
+#: texts of one tile, and the hashes of one tile of a block
 TILE = 2048
+TILE_HASHES = 1 << 20
+#: hashes that are verified at once
+_VERIFIED = 1 << 18
 #: bytes of a signature; each agrees with chance J + (1 - J) / 256 for a similarity of J,
-#: so at 0.8 some 205 do (deviation 6.4); four deviations lose 1 of 30,000 pairs there
+#: so at 0.8 some 205 do (deviation 6.4)
 SIGNATURE = 256
-AGREE = 179
 #: texts in which frequent shingles are looked for, and in how many of them those stand.
 #: The order of shingles, not the result, follows from this.
 SAMPLE = 20_000
@@ -228,6 +233,13 @@ def _shared(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rare.mapInArrow(twice, "key long, digest binary, lead boolean").unionByName(hot)
 
 
+def _tile_pairs(slots: Column, slot: Column) -> Column:
+    """Every pair (p <= q, in one number) that the slot is one of."""
+    return F.transform(
+        F.sequence(F.lit(0), slots - 1), lambda s: F.greatest(s, slot) * F.lit(1 << 32) + F.least(s, slot)
+    )
+
+
 def _grouped(shared: DataFrame, tile: int) -> DataFrame:
     """The rows (``key``, ``digest``, ...) with ``part``, the group that a task compares:
     those of a key, or of a pair of its tiles."""
@@ -237,11 +249,7 @@ def _grouped(shared: DataFrame, tile: int) -> DataFrame:
     )
     placed = shared.join(large, "key", "left")
     slot = F.pmod(F.xxhash64("digest"), F.col("slots")).cast("int")
-    # every pair (p <= q) that the slot is one of
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("slots") - 1),
-        lambda s: F.greatest(s, slot) * F.lit(1 << 32) + F.least(s, slot),
-    )
+    pair = _tile_pairs(F.col("slots"), slot)
     parts = F.when(F.col("slots").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pair)
     return placed.withColumn("part", F.explode(parts)).drop("slots")
 
@@ -287,38 +295,60 @@ def near_forest(
             return out
 
 
-def near_pairs(prints: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, signs: np.ndarray):
-    """All pairs within the radius that are not joined yet (different ``roots``) and
-    whose signatures agree."""
+def similar_forest(
+    prints: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, radius: int, slots: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Pairs that span what similar pairs within the radius join. ``hashes`` holds the
+    sets one after the other, of ``sizes``; with ``slots`` only pairs of different ones count."""
     ones = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     order = np.argsort(ones, kind="stable")
-    prints, ones, sizes, roots, signs = prints[order], ones[order], sizes[order], roots[order], signs[order]
+    prints, ones = prints[order], ones[order]
+    names, ids = np.unique(hashes, return_inverse=True)
+    begins = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    slots = None if slots is None else slots[order]
+    roots = np.arange(len(ones))
+    own = np.zeros(len(names), dtype=bool)
+    out = []
     for i in range(len(ones)):
         begin, bits = _distances(prints, ones, i, radius)
         reach = slice(begin, begin + len(bits))
         small, large = np.minimum(sizes[reach], sizes[i]), np.maximum(sizes[reach], sizes[i])
         found = (bits <= radius) & (roots[reach] != roots[i]) & (small >= SIMILAR * large)
-        later = np.flatnonzero(found[i - begin :]) + i
-        for j in later[(signs[later] == signs[i]).sum(axis=1) >= AGREE]:
-            yield int(order[i]), int(order[j])
-
-
-def _compared(groups: DataFrame, radius: int, every: bool) -> DataFrame:
-    """``a``, ``b`` (a < b): links of ``node`` from rows ``key``, ``part``, ``node``, ``fp``,
-    ``size``, ``root``; ``every`` lists all pairs of different roots (``fp`` then ends
-    with the signature), else a forest."""
+        if slots is not None:
+            found &= slots[reach] != slots[i]
+        found[: i + 1 - begin] = False
+        at = np.flatnonzero(found)
+        later = at[np.argsort(bits[at], kind="stable")] + begin
+        held = ids[begins[i] : begins[i] + sizes[i]]
+        own[held] = True
+        step = 8
+        while len(later):
+            some, later = later[:step], later[step:]
+            counts = sizes[some]
+            edges = np.cumsum(counts) - counts
+            each = np.repeat(begins[some] - edges, counts) + np.arange(counts.sum())
+            both = np.add.reduceat(own[ids[each]], edges, dtype=np.int64)
+            for j in some[(both > 0) & (both >= SIMILAR * (counts + sizes[i] - both))].tolist():
+                if roots[j] != roots[i]:
+                    out.append((int(order[i]), int(order[j])))
+                    roots[roots == roots[j]] = roots[i]
+            later = later[roots[later] != roots[i]]
+            step = min(4 * step, max(8, _VERIFIED // max(1, int(sizes[i]))))
+        own[held] = False
+    return out
+
+
+def _compared(groups: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b`` (a < b): a forest of links of ``node`` from rows ``key``, ``part``,
+    ``node``, ``fp``, ``size``, ``root``."""
     dealt = groups.select("key", "part", "node", "size", "root", "fp")
     dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def pairs(table, fps, a, b):
-        node = table[2, a:b]
-        held = np.frombuffer(b"".join(fps[a:b]), dtype=np.uint8).reshape(b - a, -1)
-        prints = np.ascontiguousarray(held[:, : 8 * LANES]).view(np.uint64)
         if (table[4, a:b] == table[4, a]).all():
             return []
-        if every:
-            found = near_pairs(prints, table[3, a:b], table[4, a:b], radius, held[:, 8 * LANES :])
-            return [(node[i], node[j]) for i, j in found]
+        node, prints = table[2, a:b], np.frombuffer(b"".join(fps[a:b]), dtype=np.uint64).reshape(b - a, LANES)
         return [(node[i], node[j]) for i, j in near_forest(prints, table[3, a:b], radius, table[4, a:b])]
 
     def compare(batches):
@@ -351,45 +381,58 @@ def _compared(groups: DataFrame, radius: int, every: bool) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``hashes`` of the texts that stand in a pair."""
-    named = _texts(rows.join(nodes, rows["n"] == nodes["node"]), "node")
+def _blocks(rows: DataFrame, texts: DataFrame, links: DataFrame, tile: int) -> DataFrame:
+    """``block``, ``part`` (pair of its tiles), ``slot`` (tile), ``node``, ``fp`` and ``hashes``
+    of all texts in what the links join."""
+    joined = written(components(links), "joined").toDF("node", "block")
+    placed = joined.join(texts.select("node", "fp", "size"), "node")
+    extent = placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("held"))
+    slots = F.ceil(F.greatest(F.col("rows") / tile, F.col("held") / TILE_HASHES)).cast("int")
+    placed = placed.join(extent.select("block", slots.alias("slots")), "block")
+    slot = F.pmod(F.xxhash64("node"), F.col("slots")).cast("int")
+    placed = placed.select("block", "slots", slot.alias("slot"), "node", "fp")
+    named = _texts(rows.select("n", "row").join(placed, F.col("n") == F.col("node")), *placed.columns)
 
     def hashed(batches):
         for batch in batches:
             found = [h.tobytes() for h, _ in shingle_sets(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["node", "hashes"])
-
-    return named.mapInArrow(hashed, "node long, hashes binary")
-
-
-def _signatures(sets: DataFrame) -> DataFrame:
-    """``node`` and ``sign`` of sets."""
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(found, pa.binary())], [*batch.schema.names[1:], "hashes"]
+            )
 
-    def signed(batches):
-        for batch in batches:
-            found = [signature(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "sign"])
+    sets = named.mapInArrow(hashed, "block long, slots int, slot int, node long, fp binary, hashes binary")
+    parts = F.explode(_tile_pairs(F.col("slots"), F.col("slot"))).alias("part")
+    return sets.select("block", parts, "slot", "node", "fp", "hashes")
 
-    return sets.mapInArrow(signed, "node long, sign binary")
 
+def _verified(blocks: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b``: links that span what similar pairs within the radius join."""
+    dealt = blocks.repartition("block", "part").sortWithinPartitions("block", "part", "node")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar by their shingles."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    def links(block, part, slots, nodes, prints, held):
+        sets = [np.frombuffer(h, np.uint64) for h in held]
+        sizes = np.array([len(h) for h in sets], dtype=np.int64)
+        prints = np.frombuffer(b"".join(prints), dtype=np.uint64).reshape(len(nodes), LANES)
+        # pairs inside a tile belong to the part of that tile alone
+        apart = None if part >> 32 == part & 0xFFFFFFFF else np.array(slots)
+        return [(nodes[i], nodes[j]) for i, j in similar_forest(prints, np.concatenate(sets), sizes, radius, apart)]
 
     def verify(batches):
-        for batch in batches:
-            x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(i)] for i in (2, 3))
-            keep = pa.array([similar(*p) for p in zip(x, y)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
-
-    return both.mapInArrow(verify, "a long, b long")
-
+        at, held = None, ([], [], [], [])
+        for batch in [*batches, None]:
+            out = []
+            columns = [] if batch is None else [c.to_pylist() for c in batch.columns]
+            for block, part, *row in [*zip(*columns), *([(None, None)] if batch is None else [])]:
+                if (block, part) != at:
+                    if at is not None and len(held[1]) > 1:
+                        out += links(*at, *held)
+                    at, held = (block, part), ([], [], [], [])
+                for into, value in zip(held, row):
+                    into.append(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """``node``: the texts that stand in a pair."""
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return dealt.mapInArrow(verify, "a long, b long")
 
 
 def _open(groups: DataFrame, joined: DataFrame) -> DataFrame:
@@ -410,21 +453,10 @@ def similar_links(rows: DataFrame, texts: DataFrame, radius: int = RADIUS, tile:
     groups = _grouped(shared.join(nodes, "digest").drop("digest").withColumn("digest", F.col("node")), tile)
     groups = written(groups.drop("digest", "rows"), "groups")
 
-    led = written(_compared(groups.filter("lead"), radius, every=False), "pairs")
-    held = _ends(led)
-    sets = written(_sets(rows, held), "sets")
-    copies = written(_verified(led, sets), "similar")
+    led = written(_compared(groups.filter("lead"), radius), "pairs")
     # the other groups join what the first shingles left apart
-    met = written(_compared(_open(groups, written(components(copies), "joined")), radius, every=False), "pairs")
-    first = led.unionByName(met).distinct()
-    ends = _ends(first)
-    sets = sets.unionByName(written(_sets(rows, ends.join(held, "node", "left_anti")), "sets"))
-    good = copies.unionByName(written(_verified(met, sets), "similar"))
-    # pairs that the forests left apart, of texts that they have: others have no partner
-    again = _open(groups.join(ends, "node", "left_semi"), written(components(good), "joined"))
-    again = again.join(_signatures(sets), "node").withColumn("fp", F.concat("fp", "sign"))
-    later = _compared(again, radius, every=True).join(first, ["a", "b"], "left_anti")
-    return good.unionByName(written(_verified(later, sets), "similar"))
+    met = written(_compared(_open(groups, written(components(led), "met")), radius), "pairs")
+    return written(_verified(_blocks(rows, texts, led.unionByName(met), tile), radius), "similar")
 
 
 def keep_one_similar(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

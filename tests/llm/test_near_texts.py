@@ -111,3 +111,72 @@ def test_forest_joins_what_is_joined_already_by_no_pair():
 def test_hashes_are_handed_over_in_parts():
     sets = [np.arange(n) for n in (3, 4, 0, 9, 1)]
     assert [[len(s) for s in part] for part in near_texts._filled(sets, 6)] == [[3, 4], [0, 9], [1]]
+
+
+def _apart(n, seed):
+    """Sets of 200 of which each keeps most of one base: many pairs on both sides of the limit."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    out = []
+    for i in range(n):
+        own = rng.integers(0, 1 << 63, int(rng.integers(2, 45)), dtype=np.uint64)
+        out.append(np.unique(np.concatenate([rng.permutation(base)[: 200 - len(own)], own])))
+    return out
+
+
+def test_verified_forest_joins_what_all_similar_pairs_join():
+    for seed, slots in ((1, None), (2, np.arange(120) % 2)):
+        sets = _apart(120, seed)
+        prints = np.stack([near_texts.fingerprint(s) for s in sets])
+        sizes = np.array([len(s) for s in sets])
+        got = near_texts.similar_forest(prints, np.concatenate(sets), sizes, 256, slots)
+        want = [
+            (i, j) for i in range(120) for j in range(i)
+            if near_texts.similar(sets[i], sets[j]) and (slots is None or slots[i] != slots[j])
+        ]
+        assert len(got) < 120 < len(want)
+        assert all(near_texts.similar(sets[i], sets[j]) for i, j in got)
+        assert _classes(got, 120) == _classes(want, 120)
+
+
+def _classes(links, n):
+    of = list(range(n))
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = [low if x == high else x for x in of]
+    return of
+
+
+def _loose(n, seed):
+    """Copies of one text with one to six words changed: many pairs come near and are not similar."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for i in range(n):
+        copy = base[:]
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            copy[at] = f"x{i}-{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_loose_group_passes_on_a_link_a_text(spark, make_docs, monkeypatch):
+    made = []
+
+    def counted(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+
+    texts = _loose(300, 3)
+    written = near_texts.written
+    monkeypatch.setattr(near_texts, "written", counted)
+    got = near_texts.keep_one_similar(make_docs(texts, 4))
+    assert sorted(r.doc_id for r in got.collect()) == similar_kept(texts)
+    assert max(rows for name, rows in made if name in ("pairs", "similar")) < 2 * len(texts)
+
+
+def test_loose_groups_in_tiles(spark, make_docs):
+    texts = _loose(150, 4)
+    got = near_texts.keep_one_similar(make_docs(texts, 4), tile=32)
+    assert sorted(r.doc_id for r in got.collect()) == similar_kept(texts)

@@ -118,24 +118,28 @@ def within_edits(a: str, b: str, edits: int) -> Column:
         fields = [f"n.r{k}" for k in range(edits + 1)]
         fields[e] = f"(n.r{e} | shiftleft(n.r{e - 1}, 1)) & {full}"
         moved = _bound(f"array({moved})", "n", _struct(fields))
+    # without a diagonal left nothing can be reached any more
     reached = (
         "aggregate(transform(t.y, (c, j) -> struct(c, j)), "
-        f"{_struct(start)}, (s, q) -> {moved}).r{edits}"
+        f"{_struct(start)}, (s, q) -> if(s.r{edits} = 0, s, {moved})).r{edits}"
     )
     end = f"shiftleft(1, size(t.x) - size(t.y) + {edits})"
     close = f"abs(size(t.x) - size(t.y)) <= {edits} and ({reached} & {end}) > 0"
-    # equal beginnings and ends cost no edits and need no steps
-    shared = "coalesce(get(filter(sequence(0, {n} - 1), i -> {x}[i] <> {y}[i]), 0), {n})"
-    n = "least(size(w.x), size(w.y))"
-    head, tail = shared.format(n=n, x="w.x", y="w.y"), shared.format(n=n, x="w.rx", y="w.ry")
-    measured = f"struct(w.x as x, w.y as y, {head} as head, {tail} as tail, {n} as n)"
-    cut = "slice(v.{0}, v.head + 1, size(v.{0}) - v.head - least(v.tail, v.n - v.head))"
-    middle = f"struct({cut.format('x')} as x, {cut.format('y')} as y)"
-    chars = ", ".join(
-        f"split({text}, '') as {name}"
-        for name, text in (("x", a), ("y", b), ("rx", f"reverse({a})"), ("ry", f"reverse({b})"))
+    # equal beginnings and ends cost no edits and need no steps; their length is found
+    # by halving steps
+    step = "h + shiftleft(1, p)"
+    shared = (
+        f"aggregate(sequence(30, 0), 0, (h, p) -> if({step} <= w.n, "
+        f"if({{side}}(w.x, {step}) = {{side}}(w.y, {step}), {step}, h), h))"
+    )
+    measured = (
+        f"struct(w.x as x, w.y as y, {shared.format(side='left')} as head, "
+        f"{shared.format(side='right')} as tail, w.n as n)"
     )
-    texts = _bound(f"array(struct({chars}))", "w", measured)
+    rest = "substring(v.{0}, v.head + 1, length(v.{0}) - v.head - least(v.tail, v.n - v.head))"
+    cut = f"slice(split({rest}, ''), 1, length({rest}))"
+    middle = f"struct({cut.format('x')} as x, {cut.format('y')} as y)"
+    texts = _bound(f"array(struct({a} as x, {b} as y, least(length({a}), length({b})) as n))", "w", measured)
     return F.expr(_bound(f"array({_bound(f'array({texts})', 'v', middle)})", "t", close))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.llm import line_dedup
 from packetloom.llm.line_dedup import near_links, with_removed_lines
@@ -41,3 +42,20 @@ def test_a_short_line_with_one_letter_changed_is_removed(make_docs):
     line = "all rights are reserved"
     docs = make_docs([line, line.replace("all", "alt")])
     assert {r.row.doc_id: r.removed for r in with_removed_lines(docs).collect()} == {0: [], 1: [0]}
+
+
+def test_distance_of_long_lines_that_begin_and_end_alike(spark):
+    rng = random.Random(8)
+    pairs = [("", ""), ("", "ab"), ("aaaa", "aa"), ("abab", "ab"), ("a" * 300, "a" * 302), ("a" * 300, "a" * 303)]
+    for _ in range(150):
+        a = [rng.choice("ab é漢😀") for _ in range(rng.randint(0, 300))]
+        b = a[:]
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "😀"])
+        pairs.append(("".join(a), "".join(b)))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    near = F.levenshtein("a", "b") <= 2
+    both = frame.select(line_dedup.within_edits("a", "b", 2).alias("got"), near.alias("want")).collect()
+    assert [r.got for r in both] == [r.want for r in both]
+    assert 20 < sum(r.want for r in both) < len(pairs) - 20

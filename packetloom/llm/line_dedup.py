@@ -2,9 +2,10 @@
 
 Two lines within ``edits`` edits share one of ``edits + 1`` segments of the shorter
 one, at a place that moves by at most as many characters. So every line is entered
-by its own segments, and probes, for each length it may be matched with, the
-substrings that such a segment could be. Segments and probes meet by a 64-bit
-hash of segment number, length and characters.
+by its own segments, and probes, for the lengths it may be matched with, the
+substrings that such a segment could be. All lengths of a span are cut alike, by its
+least length, so one probe serves them all. Segments and probes meet by a 64-bit hash
+of segment number, span and characters.
 
 Segments of short lines would be a character or two. Pairs with a line below
 ``SPLIT`` characters meet by their deletion neighbourhoods instead: two lines within
@@ -19,6 +20,10 @@ bits for each number of edits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +39,19 @@ SPLIT = 12
 #: probe keys that are broadcast; beyond it they are joined by a shuffle
 _BROADCAST_KEYS = 1_000_000
 _BLANKS = " \t\x0b\x0c\r"
-# Letter classes whose counts near lines nearly share.
-_LETTERS = ("eaiou", "tnsr", " ", "hldc", "EAIOUTNSRHLDC")
+# Letters whose counts near lines nearly share, one by one: `replace` of
+# a single letter is far cheaper than `translate` of a class.
+_LETTERS = " etaoinr"
 _SEGMENT, _PROBE = 1, 2
+#: characters of the unequal middles that are stepped through first
+_FIRST = 16
+
+
+def _trimmed(raw: Column) -> Column:
+    """The text without outer blanks. Few texts have any, and trimming by a set of
+    characters lays out every text first."""
+    outer = [f(raw, F.lit(c)) for c in _BLANKS for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, outer), F.btrim(raw, F.lit(_BLANKS))).otherwise(raw)
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -44,52 +59,61 @@ def with_lines(docs: DataFrame) -> DataFrame:
     counting all lines), ``line`` (without outer blanks)."""
     text = F.col("text").cast("string")
     keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc_key"), text.alias("t"))
-    lines = keyed.select(
-        "doc_id", "doc_key", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "raw")
-    )
-    return lines.select(
-        "doc_id", "doc_key", "line_no", F.btrim("raw", F.lit(_BLANKS)).alias("line")
-    ).filter(F.col("line") != "")
-
-
-def probe_offsets(edits: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of every substring that a line has to
-    probe among the segments of lines shorter by the difference."""
-    out = []
-    for less in range(edits + 1):
+    # trimmed before they become rows: later filters would trim each line again
+    parts = F.transform(F.split("t", "\n", -1), _trimmed)
+    lines = keyed.select("doc_id", "doc_key", F.posexplode_outer(parts).alias("line_no", "line"))
+    return lines.filter(F.col("line") != "")
+
+
+def probe_offsets(edits: int, least: int = 0) -> list[tuple[int, int]]:
+    """(segment, shift) of every substring that a line has to probe among the segments
+    of lines shorter by ``least`` to ``edits`` characters. Segments of the first half lie
+    at a distance from the beginning, those of the second half from the end."""
+    out = set()
+    for less in range(least, edits + 1):
         for i in range(edits + 1):
             low = max(-i, less - (edits - i))
             high = min(i, less + (edits - i))
-            out += [(less, i, shift) for shift in range(low, high + 1)]
-    return out
+            out |= {(i, shift - (less if 2 * i > edits else 0)) for shift in range(low, high + 1)}
+    return sorted(out, key=lambda x: (x[1] != 0, x))
 
 
-def _entries(line: Column, size: Column, edits: int) -> Column:
-    """Array of (key, role) of a line."""
-    parts = edits + 1
+def _span(size: Column, edits: int, least: int) -> Column:
+    """The least length of the span that ``size`` lies in. Lines of a span are cut alike,
+    so a line probes once for all lengths of a span."""
+    unit = max(edits, 1)
+    width = F.when(size < 32 * unit, 2 * unit).otherwise(8 * unit)
+    return F.greatest(size - size % width, F.lit(least))
 
-    def edge(length: Column, i: int) -> Column:
-        return F.floor(length * i / parts).cast("int")
 
+def _keys(line: Column, size: Column, span: Column, edits: int, least: int = 0) -> list[Column]:
+    """Hashes of the substrings of ``probe_offsets``; the line's own segments come first."""
     made = []
-    for less, i, shift in probe_offsets(edits):
-        length = size - less
-        begin = edge(length, i)
-        piece = F.substring(line, begin + (shift + 1), edge(length, i + 1) - begin)
-        role = _SEGMENT | _PROBE if less == 0 and shift == 0 else _PROBE
-        made.append(
-            F.struct(F.xxhash64(F.lit(i), length, piece).alias("key"), F.lit(role).alias("role"))
-        )
-    return F.array(*made)
+    for i, shift in probe_offsets(edits, least):
+        begin, end = (F.floor(span * j / (edits + 1)).cast("int") for j in (i, i + 1))
+        at = begin + (size - span if 2 * i > edits else F.lit(0)) + (shift + 1)
+        made.append(F.xxhash64(F.lit(i), span, F.substring(line, at, end - begin)))
+    return made
 
 
 def _entered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """``id`` (hash of the line), ``line``, ``key``, ``role`` of all lines that can
     be near another."""
-    long = lines.select("line", F.length("line").alias("size")).filter(F.col("size") >= least)
-    return long.select(
-        F.xxhash64("line").alias("id"), "line", F.explode(_entries(F.col("line"), F.col("size"), edits)).alias("e")
-    ).select("id", "line", "e.key", "e.role")
+    line, size, span, before = (F.col(c) for c in ("line", "size", "span", "before"))
+    long = lines.select("line", F.length("line").alias("size")).filter(size >= least)
+    long = long.withColumn("span", _span(size, edits, least))
+    long = long.withColumn("before", _span(span - 1, edits, least))
+    own = _keys(line, size, span, edits)
+    # the first lengths of a span also meet the last ones of the span before
+    keys = F.array(*own)
+    for less in range(1, edits + 1):
+        both = F.array(*own, *_keys(line, size, before, edits, less))
+        keys = F.when((size - span == less - 1) & (span > least), both).otherwise(keys)
+    keyed = long.select(F.xxhash64("line").alias("id"), "line", keys.alias("keys"))
+    role = F.when(F.col("i") <= edits, _SEGMENT | _PROBE).otherwise(_PROBE)
+    return keyed.select("id", "line", F.posexplode_outer("keys").alias("i", "key")).select(
+        "id", "line", "key", role.alias("role")
+    )
 
 
 def within_edits(a: str, b: str, edits: int) -> Column:
@@ -136,11 +160,20 @@ def within_edits(a: str, b: str, edits: int) -> Column:
         f"struct(w.x as x, w.y as y, {shared.format(side='left')} as head, "
         f"{shared.format(side='right')} as tail, w.n as n)"
     )
-    rest = "substring(v.{0}, v.head + 1, length(v.{0}) - v.head - least(v.tail, v.n - v.head))"
-    cut = f"slice(split({rest}, ''), 1, length({rest}))"
-    middle = f"struct({cut.format('x')} as x, {cut.format('y')} as y)"
+    rest = "length(v.{0}) - v.head - least(v.tail, v.n - v.head)"
+
+    def cut(name: str, most: str) -> str:
+        # a split by '' ends with an empty string
+        part = f"substring(v.{name}, v.head + 1, {most.format(rest.format(name))})"
+        return _bound(f"array({part})", "p", "slice(split(p, ''), 1, length(p))")
+
+    middle = f"struct({cut('x', '{0}')} as x, {cut('y', '{0}')} as y)"
+    # most pairs leave every diagonal within a few characters
+    few = f"struct({cut('x', f'least({{0}}, {_FIRST + edits})')} as x, {cut('y', f'least({{0}}, {_FIRST})')} as y)"
+    alive = _bound(f"array({few})", "t", reached)
+    verdict = f"if({alive} > 0, {_bound(f'array({middle})', 't', close)}, false)"
     texts = _bound(f"array(struct({a} as x, {b} as y, least(length({a}), length({b})) as n))", "w", measured)
-    return F.expr(_bound(f"array({_bound(f'array({texts})', 'v', middle)})", "t", close))
+    return F.expr(_bound(f"array({texts})", "v", verdict))
 
 
 def _struct(values: list) -> str:
@@ -213,21 +246,23 @@ def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
         hits = written(hits, "hits")
         texts = lines.select(F.xxhash64("line").alias("id"), "line").filter(F.length("line") >= least)
         live = hits.join(texts.join(hits.select("id"), "id", "left_semi").distinct(), "id")
-    live = written(live.select("key", "id", "line", "role"), "live")
     counts = [
-        (F.length("line") - F.length(F.translate("line", s, ""))).alias(f"n{i}")
-        for i, s in enumerate(_LETTERS)
+        (F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).alias(f"n{i}")
+        for i, c in enumerate(_LETTERS)
     ]
+    # counted once a row, before the table is read for both sides
     live = live.select("key", "id", "line", "role", F.length("line").alias("size"), *counts)
+    live = written(live, "live")
+    texts = live.select("id", "line").distinct()
+    # a longer or equally long line looks for shorter ones; letter counts may differ by
+    # an edit each, so segments are laid out for all neighbouring counts
     left = live.filter(F.col("role") == (_SEGMENT | _PROBE)).select(
-        "key", "n0", F.col("line").alias("a"), F.col("size").alias("a_size"),
+        "key", F.explode(F.sequence(F.col("n0") - edits, F.col("n0") + edits)).alias("n0"),
+        F.col("id").alias("a"), F.col("size").alias("a_size"),
         *[F.col(f"n{i}").alias(f"a{i}") for i in range(1, len(_LETTERS))],
     )
-    # a longer or equally long line looks for shorter ones; letter counts may
-    # differ by an edit each, so it looks at all neighbouring counts
     right = live.select(
-        "key", F.explode(F.sequence(F.col("n0") - edits, F.col("n0") + edits)).alias("n0"),
-        F.col("line").alias("b"), F.col("size").alias("b_size"),
+        "key", "n0", F.col("id").alias("b"), F.col("size").alias("b_size"),
         *[F.col(f"n{i}").alias(f"b{i}") for i in range(1, len(_LETTERS))],
     )
     close = [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= edits for i in range(1, len(_LETTERS))]
@@ -239,10 +274,13 @@ def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     )
     for c in close:
         condition = condition & c
-    pairs = left.join(right, condition).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = left.join(right, condition).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # ids alone are compared; texts follow once a pair
+    x, y = (texts.select(F.col("id").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    pairs = pairs.distinct().join(x, "a").join(y, "b")
+    return pairs.filter(within_edits("x", "y", edits)).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     )
-    return pairs.distinct().filter(within_edits("a", "b", edits))
 
 
 def _line_id(line: str) -> Column:
@@ -295,8 +333,11 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFr
     )
 
 
-def with_removed_lines(docs: DataFrame, edits: int = EDITS, least: int = 0) -> DataFrame:
-    """Every row of ``docs`` (as the struct ``row``) with ``removed`` and ``n_links``.
+def with_removed_lines(
+    docs: DataFrame, edits: int = EDITS, least: int = 0, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Every row of ``docs`` (as the struct ``row``, of the columns in ``keep`` if
+    given) with ``removed`` and ``n_links``.
 
     A line is removed if an earlier one (by ``doc_id``, NULL first, then text
     hash and line number) is equal or connected to it by steps of ``edits`` edits
@@ -305,12 +346,13 @@ def with_removed_lines(docs: DataFrame, edits: int = EDITS, least: int = 0) -> D
     """
     verdicts = line_verdicts(docs.select("doc_id", "text"), edits, least)
     named = verdicts.select(F.col("doc_key").alias("_key"), F.col("doc_id").alias("_id"), "removed", "n_links")
-    rows = docs.select(F.struct("*").alias("row")).withColumn(
-        "_k", F.xxhash64("row.doc_id", F.col("row.text").cast("string"))
-    )
-    joined = rows.join(
-        named, (F.col("_k") == F.col("_key")) & F.col("row.doc_id").eqNullSafe(F.col("_id")), "left"
+    held = F.struct(*([F.col(f"`{c}`") for c in keep] if keep else ["*"]))
+    rows = docs.select(
+        held.alias("row"),
+        F.col("doc_id").alias("_doc"),
+        F.xxhash64("doc_id", F.col("text").cast("string")).alias("_k"),
     )
+    joined = rows.join(named, (F.col("_k") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")), "left")
     none = F.array().cast("array<int>")
     return joined.select(
         "row",

@@ -151,7 +151,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat an earlier line but for two edits."""
-    return with_removed_lines(_texts(spark, sf_dir)).select(
+    # the rows need no text once its lines are hashed
+    return with_removed_lines(_texts(spark, sf_dir), keep=("doc_id",)).select(
         "row.doc_id", F.size("removed").cast("long").alias("n_removed"), "n_links", "removed"
     )
 

@@ -59,3 +59,54 @@ def test_distance_of_long_lines_that_begin_and_end_alike(spark):
     both = frame.select(line_dedup.within_edits("a", "b", 2).alias("got"), near.alias("want")).collect()
     assert [r.got for r in both] == [r.want for r in both]
     assert 20 < sum(r.want for r in both) < len(pairs) - 20
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_around_the_bounds_of_spans_are_linked(spark, edits):
+    rng = random.Random(edits)
+    lines = set()
+    for size in [*range(10, 27), *range(32 * edits - 4, 32 * edits + 4), *range(40 * edits - 4, 40 * edits + 4)]:
+        base = [rng.choice("abcdefgh é漢") for _ in range(size)]
+        lines.add("".join(base))
+        # edits at both ends, in the middle and anywhere, that lengthen, keep or shorten
+        for spots in ([0, -1], [0, 0], [-1, -1], [size // 2, -1], [0, size // 2], [None, None, None, None]):
+            copy = base[:]
+            for spot in spots[: edits + 1]:
+                at = rng.randrange(len(copy)) if spot is None else spot % len(copy)
+                copy[at : at + rng.randrange(2)] = rng.choice(["", "x", "漢"])
+            lines.add("".join(copy))
+    lines = sorted(x for x in lines if x)
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    want = {(a, b) for i, b in enumerate(lines) for a in lines[:i] if _distance(a, b) <= edits}
+    got = [(r.a, r.b) for r in near_links(frame, edits, least=0).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 50
+
+
+def test_a_line_probes_once_for_a_span_of_lengths(spark):
+    lines = spark.range(12, 400).select(F.repeat(F.lit("é"), F.col("id").cast("int")).alias("line"))
+    entered = line_dedup._entered(lines, 2, 12)
+    # a probe for each length and shift made 12 keys a line
+    counts = [r["count"] for r in entered.groupBy("id").count().collect()]
+    assert len(counts) == 388 and min(counts) == 5 and max(counts) <= 9 and sum(counts) < 7 * len(counts)
+    assert entered.filter("key is null").isEmpty()
+
+
+def test_lines_are_trimmed_once_and_keep_their_numbers(spark):
+    blanks = " \t\x0b\x0c\r"
+    texts = ["", None, "\n", " a \n\n\tb", "\x0bc\x0c\r\n  d  \n  ", "e f", "　"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = line_dedup.with_lines(docs)
+    want = {
+        (i, n, x.strip(blanks)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip(blanks)
+    }
+    assert {(r.doc_id, r.line_no, r.line) for r in frame.collect()} == want
+    # a length filter does not trim again
+    plan = frame.filter(F.length("line") > 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1
+
+
+def test_rows_hold_only_the_columns_asked_for(make_docs):
+    found = with_removed_lines(make_docs(["one line\none line", None]), keep=("doc_id",))
+    assert {tuple(r.row.asDict().items()): r.removed for r in found.collect()} == {
+        (("doc_id", 0),): [1], (("doc_id", 1),): []
+    }

@@ -253,16 +253,15 @@ def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     # counted once a row, before the table is read for both sides
     live = live.select("key", "id", "line", "role", F.length("line").alias("size"), *counts)
     live = written(live, "live")
-    texts = live.select("id", "line").distinct()
     # a longer or equally long line looks for shorter ones; letter counts may differ by
     # an edit each, so segments are laid out for all neighbouring counts
     left = live.filter(F.col("role") == (_SEGMENT | _PROBE)).select(
         "key", F.explode(F.sequence(F.col("n0") - edits, F.col("n0") + edits)).alias("n0"),
-        F.col("id").alias("a"), F.col("size").alias("a_size"),
+        F.col("line").alias("a"), F.col("size").alias("a_size"),
         *[F.col(f"n{i}").alias(f"a{i}") for i in range(1, len(_LETTERS))],
     )
     right = live.select(
-        "key", "n0", F.col("id").alias("b"), F.col("size").alias("b_size"),
+        "key", "n0", F.col("line").alias("b"), F.col("size").alias("b_size"),
         *[F.col(f"n{i}").alias(f"b{i}") for i in range(1, len(_LETTERS))],
     )
     close = [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= edits for i in range(1, len(_LETTERS))]
@@ -274,13 +273,10 @@ def _long_links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     )
     for c in close:
         condition = condition & c
-    pairs = left.join(right, condition).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # ids alone are compared; texts follow once a pair
-    x, y = (texts.select(F.col("id").alias(c), F.col("line").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    pairs = pairs.distinct().join(x, "a").join(y, "b")
-    return pairs.filter(within_edits("x", "y", edits)).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    )
+    # the distance stands last, so it is taken only where all counts agree; pairs that
+    # are too far apart do not leave the join
+    pairs = left.join(right, condition & within_edits("a", "b", edits))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _line_id(line: str) -> Column:

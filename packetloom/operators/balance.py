@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.operators.evaluation import class_counts
-from packetloom.operators.neighbours import nearest_by_pivots, squared_distances
+from packetloom.operators.neighbours import finite_rows, nearest_by_pivots, nearest_of_tiles
 from packetloom.operators.ordering import (
+    default_buckets,
     hash_cuts,
     hash_order,
     with_rank,
@@ -22,6 +22,8 @@ from packetloom.session import written
 SMOTE_TARGET = 10_000
 SMOTE_NEIGHBOURS = 5
 _SLOT_PIECE = 10_000
+#: numbers of a tile of rows whose neighbours are searched for: 32 MB
+_TILE_NUMBERS = 4_000_000
 
 
 def known_classes(df: DataFrame, label: str) -> dict:
@@ -69,6 +71,22 @@ def stratified_split(
     return marked.withColumn("is_test", test).drop("_class", "_cut")
 
 
+def _grid(rows: int, asked: int, most: int, least: int, tasks: int) -> tuple[int, int]:
+    """Slices of the asked rows and tiles of all rows of a class. A tile or slice holds
+    ``most`` rows at most; there are ``tasks`` pairs, unless they would hold fewer than
+    ``least`` rows, and as few copies of rows as that takes."""
+    slices, tiles = max(1, math.ceil(asked / most)), max(1, math.ceil(rows / most))
+    while slices * tiles < tasks:
+        more_slices, more_tiles = slices * least < asked, tiles * least < rows
+        if more_slices and (rows <= 2 * asked or not more_tiles):
+            slices += 1
+        elif more_tiles:
+            tiles += 1
+        else:
+            break
+    return slices, tiles
+
+
 def nearest_in_class(
     df: DataFrame,
     key: str,
@@ -76,63 +94,68 @@ def nearest_in_class(
     features: str,
     k: int = SMOTE_NEIGHBOURS,
     block_rows: int = 2_000,
+    asked: str | None = None,
 ) -> DataFrame:
     """The exact ``k`` nearest other rows of the same class (squared Euclidean
     distance, ties to the smaller key): columns key, label, neighbour, distance,
-    rank.
+    rank. ``asked`` names a column that marks the rows whose neighbours are wanted,
+    else it is all.
 
-    A class is hashed into blocks of about ``block_rows`` rows. A task compares
-    two blocks and passes on only the ``k`` best per row, so neither its input
-    nor its output grows with the class.
+    The rows of a class that ask are hashed into slices and all its rows into tiles. A
+    task compares a slice with a tile and passes on only the ``k`` best per row. Tiles
+    are as large as a task may hold (``_TILE_NUMBERS``), or smaller so that classes
+    give enough tasks, down to about ``block_rows`` rows: a row is copied once for
+    each slice and, if it asks, each tile, not once for every ``block_rows`` rows.
     """
-    sizes = known_classes(df, label)
-    blocks = _per_class(
-        df, label, {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}, "_blocks", "long"
-    )
-    rows = (
-        df.select(key, label, F.col(features).cast("array<double>").alias("_x"))
-        .join(blocks, label)
-        .withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks")))
+    kind = df.schema[features].dataType
+    short = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = df.filter(F.col(label).isNotNull()).select(
+        key,
+        label,
+        (F.col(features) if short else F.col(features).cast("array<double>")).alias("_x"),
+        (F.lit(True) if asked is None else F.coalesce(F.col(asked), F.lit(False))).alias("_asks"),
     )
-    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
-    left = rows.select(key, label, "_x", F.col("_own").alias("_q"), others.alias("_c"))
-    right = rows.select(key, label, "_x", F.col("_own").alias("_c"), others.alias("_q"))
-    return _best_of_blocks(left, right, key, label, k)
+    sizes = rows.groupBy(label).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("_asks").alias("asked"), F.max(F.size("_x")).alias("width")
+    )
+    sizes = [r for r in sizes.collect() if r["asked"]]
+    buckets = default_buckets(df)
+    work = sum(r["rows"] * r["asked"] for r in sizes)
+    grid = []
+    for r in sorted(sizes, key=lambda r: r[label]):
+        most = max(block_rows, _TILE_NUMBERS // max(1, r["width"] or 1))
+        tasks = math.ceil(buckets * r["rows"] * r["asked"] / work)
+        grid.append((r[label], *_grid(r["rows"], r["asked"], most, block_rows, tasks)))
+    schema = T.StructType([T.StructField(label, df.schema[label].dataType)])
+    cuts = df.sparkSession.createDataFrame(grid, schema.add("_slices", "integer").add("_tiles", "integer"))
+    # more partitions than pairs: few pairs meet in one
+    parts = max(buckets, min(2_000, 2 * sum(slices * tiles for _, slices, tiles in grid)))
+
+    def dealt(part: DataFrame, own: str, other: str, count: str) -> DataFrame:
+        others = F.explode(F.expr(f"sequence(0, {count} - 1)")).alias(other)
+        dealt = part.join(cuts, label).select(key, label, "_x", own, others)
+        return dealt.repartition(parts, label, "_slice", "_tile")
+
+    # another part of the hash than the one that deals out shuffle partitions
+    place = F.xxhash64(F.lit(7), key)
+    left = dealt(rows.filter("_asks"), F.pmod(place, F.col("_slices")).cast("int").alias("_slice"), "_tile", "_tiles")
+    right = dealt(rows, F.pmod(place, F.col("_tiles")).cast("int").alias("_tile"), "_slice", "_slices")
+    return _best_of_tiles(left, right, key, label, k)
 
 
-def _best_of_blocks(left: DataFrame, right: DataFrame, key: str, label: str, k: int) -> DataFrame:
-    """The ``k`` nearest ``right`` rows of every ``left`` row, over the pairs of
-    blocks (label, _q, _c) that both have."""
+def _best_of_tiles(left: DataFrame, right: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """The ``k`` nearest ``right`` rows of every ``left`` row, over the pairs of a slice
+    and a tile (label, _slice, _tile) that both have."""
+    names = [key, label, "neighbour", "distance"]
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for side in (mine, theirs):
-            bad = [x for x in side["_x"] if not np.isfinite(x).all()]
-            if bad:
-                raise ValueError("features must be finite to have neighbours")
-        if len(mine) and len(theirs):
-            theirs = theirs.sort_values(key, kind="stable")
-            ids = theirs[key].to_numpy()
-            own = mine[key].to_numpy()
-            a, b = np.stack(mine["_x"].to_numpy()), np.stack(theirs["_x"].to_numpy())
-            for start, gap in squared_distances(a, b):
-                part = own[start : start + len(gap)]
-                gap[part[:, None] == ids[None, :]] = np.inf
-                best = np.argsort(gap, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(gap, best, axis=1)
-                found = np.isfinite(dist)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            key: np.repeat(part, found.sum(axis=1)),
-                            label: mine[label].iloc[0],
-                            "neighbour": ids[best][found],
-                            "distance": dist[found],
-                        }
-                    )
-                )
-        columns = [key, label, "neighbour", "distance"]
-        return pd.concat(out) if out else pd.DataFrame(columns=columns)
+        a, b = finite_rows(mine), finite_rows(theirs)
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame(columns=names)
+        order = theirs[key].argsort(kind="stable").to_numpy()
+        own, ids = mine[key].to_numpy(), theirs[key].to_numpy()[order]
+        at, near, gap = nearest_of_tiles(own, a, ids, b[order], k)
+        return pd.DataFrame({key: own[at], label: mine[label].iloc[0], "neighbour": near, "distance": gap})
 
     kind, classes = left.schema[key].dataType, left.schema[label].dataType
     schema = T.StructType(
@@ -143,7 +166,7 @@ def _best_of_blocks(left: DataFrame, right: DataFrame, key: str, label: str, k:
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    pair = [label, "_q", "_c"]
+    pair = [label, "_slice", "_tile"]
     # both sides come from one frame: fresh columns tell them apart
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(compare, schema)

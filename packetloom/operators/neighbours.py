@@ -35,13 +35,138 @@ def squared_distances(queries: np.ndarray, others: np.ndarray):
         yield start, ((part[:, None, :] - others[None, :, :]) ** 2).sum(axis=2)
 
 
-def _finite(frame: pd.DataFrame) -> np.ndarray:
-    x = np.stack(frame["_x"].to_numpy()) if len(frame) else np.zeros((0, 0))
+def finite_rows(frame: pd.DataFrame) -> np.ndarray:
+    """The features ``_x`` as rows of doubles."""
+    x = np.stack(frame["_x"].to_numpy()).astype(float, copy=False) if len(frame) else np.zeros((0, 0))
     if not np.isfinite(x).all():
         raise ValueError("features must be finite to have neighbours")
     return x
 
 
+#: query rows and others whose distances are estimated at once; pairs that are then
+#: measured at once, and that a row may hold before only its nearest are kept
+_ESTIMATED, _MEASURED, _HELD = (256, 4096), 20_000, 400_000
+
+
+def _measured(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (a[i], b[j])."""
+    parts = [
+        ((a[i[at : at + _MEASURED]] - b[j[at : at + _MEASURED]]) ** 2).sum(axis=1)
+        for at in range(0, len(i), _MEASURED)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _first_of_each(i: np.ndarray, gap: np.ndarray, j: np.ndarray, most: int):
+    """The pairs ordered by row, distance and position: the ``most`` first of a row."""
+    order = np.lexsort((j, gap, i))
+    i, gap, j = i[order], gap[order], j[order]
+    begins = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+    place = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+    keep = place < most
+    return i[keep], gap[keep], j[keep], place[keep]
+
+
+def _halves(x: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Factors whose products are lower bounds of squared distances: lengths count less
+    by more than the products can be rounded."""
+    x = x.astype(kind)
+    share = 1 - 8 * (x.shape[1] + 8) * np.finfo(kind).eps
+    length = ((x * x).sum(axis=1) * kind(share))[:, None]
+    one = np.ones_like(length)
+    return np.hstack([-2 * x, length, one]), np.hstack([x, one, length])
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and squared distances of the ``most`` nearest rows of ``b`` for each row
+    of ``a``, ties to the first; -1 where there are fewer.
+
+    Matrix products give a lower bound of every distance; what it leaves within the
+    bound of a row is measured, so distances and order are those of all pairs.
+    """
+    at, far = np.full((len(a), most), -1), np.full((len(a), most), np.inf)
+    if not len(a) or not len(b):
+        return at, far
+    scale = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    usual = 1e-100 < scale < 1e100  # else products may overflow: every pair is measured
+    unit = scale if usual else 1.0
+    middle = (b / unit).mean(axis=0) if usual else 0.0
+    x, y = (a / unit - middle, b / unit - middle) if usual else (np.zeros((len(a), 1)), np.zeros((len(b), 1)))
+    left, right = _halves(x, np.float32)[0], _halves(y, np.float32)[1]
+    fine: list[np.ndarray] = []
+    # what shifting and scaling can round away
+    slack = 1e-18 * float((x * x).sum(axis=1).max() + (y * y).sum(axis=1).max())
+    rows, columns = _ESTIMATED
+    for start in range(0, len(a), rows):
+        part = slice(start, min(start + rows, len(a)))
+        own, upto = a[part], part.stop - start
+        limit = np.full(upto, np.inf)
+        held = (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+
+        def bounded(found, limit=limit):
+            i, gap, j, place = _first_of_each(*found, most)
+            last = place == most - 1
+            if usual:
+                limit[i[last]] = gap[last] / unit / unit * (1 + 1e-6) + slack
+            return i, gap, j
+
+        if usual and len(b) > most:
+            # any rows give a first bound: the nearest of an even choice by their estimates
+            some = np.unique(np.linspace(0, len(b) - 1, max(most, min(len(b), 2048))).astype(int))
+            near = np.argpartition(left[part] @ right[some].T, min(most, len(some)) - 1, axis=1)[:, :most]
+            i, j = np.repeat(np.arange(upto), near.shape[1]), some[near].ravel()
+            bounded((i, _measured(own, b, i, j), j))
+        for first in range(0, len(b), columns):
+            there = slice(first, first + columns)
+            inside = left[part] @ right[there].T <= limit.astype(np.float32)[:, None] * np.float32(1 + 1e-6)
+            if usual and np.count_nonzero(inside) > max(64 * most * upto, inside.size // 64):
+                # many are alike up to the rounding of the short products
+                fine = fine or [_halves(x, np.float64)[0], _halves(y, np.float64)[1]]
+                inside &= fine[0][part] @ fine[1][there].T <= limit[:, None]
+            i, j = np.divmod(np.flatnonzero(inside), inside.shape[1])
+            # of a crowd of pairs, some at a time
+            for at_ in range(0, len(i), _HELD):
+                i_, j_ = i[at_ : at_ + _HELD], j[at_ : at_ + _HELD] + first
+                held = tuple(np.concatenate(z) for z in zip(held, (i_, _measured(own, b, i_, j_), j_)))
+                if len(held[0]) > _HELD:
+                    held = bounded(held)
+        i, gap, j, place = _first_of_each(*held, most)
+        at[start + i, place], far[start + i, place] = j, gap
+    return at, far
+
+
+def _alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of every kind of equal rows, and the kind of each row."""
+    x = np.ascontiguousarray(x + 0.0)  # no -0.0
+    if not x.shape[1]:
+        return np.zeros(min(1, len(x)), int), np.zeros(len(x), int)
+    _, first, kind = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
+def nearest_of_tiles(own, a, ids, b, k):
+    """Up to ``k`` nearest of ``ids`` (ascending) for each of ``own``, rows of the same key
+    left out: positions, neighbours, distances, in order.
+
+    Equal vectors are searched for once, and no more of them than can be among the
+    ``k`` first are looked at, so a crowd of copies costs no more than other rows.
+    """
+    ids, own = pd.Series(ids), np.asarray(own)
+    if not len(own) or not len(ids):
+        return np.zeros(0, int), ids.to_numpy()[:0], np.zeros(0)
+    most = k + (int(ids.value_counts().max()) if ids.duplicated().any() else 1)
+    _, kind = _alike(b)
+    order = np.argsort(kind, kind="stable")
+    kept = np.sort(order[_first_of_each(kind[order], np.zeros(len(order)), order, len(order))[3] < most])
+    first, kind = _alike(a)
+    at, far = nearest_rows(a[first], b[kept], most)
+    at, far = at[kind], far[kind]
+    near = ids.to_numpy()[kept][at]
+    good = (at >= 0) & (near != own[:, None]) & np.isfinite(far)
+    good &= np.cumsum(good, axis=1) <= k
+    return np.nonzero(good)[0], near[good], far[good]
+
+
 def _nearest(own, a, ids, b, k, excluded=None):
     """Up to ``k`` nearest of ``ids`` (ascending) for each of ``own``: positions,
     neighbours, distances. ``excluded(start, rows)`` marks pairs that need no look."""
@@ -85,7 +210,7 @@ def _met(rows: DataFrame, pivots: DataFrame, slots: DataFrame, key: str, label:
 
 
 def _distances(mine: pd.DataFrame, pivot: pd.DataFrame) -> np.ndarray:
-    return np.sqrt(np.concatenate([gap for _, gap in squared_distances(_finite(mine), _finite(pivot))]))
+    return np.sqrt(np.concatenate([gap for _, gap in squared_distances(finite_rows(mine), finite_rows(pivot))]))
 
 
 def nearest_by_pivots(
@@ -157,7 +282,7 @@ def _search(df, key, label, features, k, block_rows, cell_rows):
 
     def inside(mine: pd.DataFrame) -> pd.DataFrame:
         mine = mine.sort_values(key, kind="stable")
-        own, x = mine[key].to_numpy(), _finite(mine)
+        own, x = mine[key].to_numpy(), finite_rows(mine)
         return table(own, mine[label].iloc[0], *_nearest(own, x, own, x, k))
 
     first = placed.select(key, label, "_x", "_cell", "_block").groupBy(label, "_cell", "_block")
@@ -212,7 +337,7 @@ def _search(df, key, label, features, k, block_rows, cell_rows):
             return gap > limit[start : start + n, None] * (1 + _SLACK) + _SLACK * there[None, :]
 
         own, ids = mine[key].to_numpy(), theirs[key].to_numpy()
-        found = _nearest(own, _finite(mine), ids, _finite(theirs), k, excluded)
+        found = _nearest(own, finite_rows(mine), ids, finite_rows(theirs), k, excluded)
         return table(own, mine[label].iloc[0], *found)
 
     both = [*target, "_crowd"]

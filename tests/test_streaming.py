@@ -1,6 +1,7 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,59 @@ def test_every_row_of_the_closed_queries_comes_out(spark, sf_dir):
     assert QUERIES["k6_stream_rate_limit"](spark, sf_dir).select("request_id").distinct().count() == events
     for name, column in (("k2_stream_stats", "flows"), ("k7_stream_request_metrics", "requests")):
         assert QUERIES[name](spark, sf_dir).agg(F.sum(column)).first()[0] == events
+
+
+@pytest.mark.parametrize("width", [1, 40, 10**6])
+def test_numbers_of_many_clients_at_once(width):
+    from packetloom.streaming.rates import _number
+
+    rng = np.random.default_rng(width)
+    client = np.sort(np.append(rng.integers(0, 50, 3000), np.arange(50)))
+    us = rng.integers(0, 3000, len(client))
+    us[client == 7] += 2**62 // 3 if width > 1 else 0  # times too far apart to lie beside each other
+    order = np.lexsort((us, client))
+    us = us[order]
+    opened, count = np.full(50, -20), rng.integers(0, 3, 50)
+    window, number = _number(client, us, opened, count, width)
+    state = {c: (opened[c], count[c]) for c in range(50)}
+    for i, (c, at) in enumerate(zip(client, us)):
+        begin, n = state[c]
+        if not n or at - begin >= width:
+            begin, n = at, 0
+        state[c] = (begin, n + 1)
+        assert (window[i], number[i]) == state[c]
+
+
+def test_clients_share_states(spark, tmp_path):
+    rows = [(i, None if i % 400 == 9 else i % 400, datetime(2024, 1, 1, 0, i % 7, i % 60)) for i in range(2000)]
+    rows.append((2000, 1, datetime(2024, 1, 1, 1)))
+    stream = _parts(spark, str(tmp_path / "in"), [rows[:900], rows[900:]], "id long, client long, ts timestamp")
+    flags = rate_limit_stream(stream, "client", "id", limit=1, delay="30 minutes", buckets=16)
+    seen = []
+    query = (
+        flags.writeStream.foreachBatch(lambda batch, _: seen.extend(batch.collect()))
+        .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 17
+    state, want = {}, {}
+    for i, client, at in sorted(rows[:-1], key=lambda r: (r[2], r[0])):
+        opened, n = state.get(client, (None, 0))
+        if opened is None or (at - opened).total_seconds() >= 60:
+            opened, n = at, 0
+        state[client] = (opened, n + 1)
+        want[i] = (client, n + 1)
+    assert {r["id"]: (r["client"], r["requests"]) for r in seen} == want
+
+
+@pytest.mark.parametrize("days", [[0, 1, 500, 504, 507], [3 * i for i in range(60)]])
+def test_requests_with_gaps_and_of_a_long_time_come_out(spark, tmp_path, days):
+    from packetloom.catalog import QUERIES
+
+    begin = datetime(2024, 1, 1)
+    rows = [(10 * d + i, begin + timedelta(days=d, hours=i), i % 4, "view", 1.0, "") for d in days for i in range(8)]
+    kind = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["k6_stream_rate_limit"](spark, str(tmp_path))
+    assert {r[0] for r in found.select("request_id").collect()} == {r[0] for r in rows}
+    assert found.count() == len(rows)

@@ -24,6 +24,8 @@ SMOTE_NEIGHBOURS = 5
 _SLOT_PIECE = 10_000
 #: numbers of a tile of rows whose neighbours are searched for: 32 MB
 _TILE_NUMBERS = 4_000_000
+#: rows of a table of classes that is broadcast
+_FEW_CLASSES = 10_000
 
 
 def known_classes(df: DataFrame, label: str) -> dict:
@@ -38,6 +40,12 @@ def _per_class(df: DataFrame, label: str, values: dict, name: str, kind: str) ->
     return df.sparkSession.createDataFrame(list(values.items()), schema)
 
 
+def _few(classes: DataFrame, count: int) -> DataFrame:
+    """A table of classes, sent to all tasks while they are few: Spark does not know the
+    size of a table made here, and would shuffle the rows that it is joined with."""
+    return F.broadcast(classes) if count <= _FEW_CLASSES else classes
+
+
 def split_quotas(sizes: dict, fraction: float) -> dict:
     """Test rows per class: the rounded-down share, and the rows still missing
     to the rounded-up total go to the largest remainders."""
@@ -62,7 +70,7 @@ def stratified_split(
     themselves are then marked in place, without a shuffle.
     """
     quotas = split_quotas(known_classes(df, label), fraction)
-    quota = _per_class(df, label, {c: q for c, q in quotas.items() if q}, "quota", "long")
+    quota = _few(_per_class(df, label, {c: q for c, q in quotas.items() if q}, "quota", "long"), len(quotas))
     cuts = hash_cuts(df, key, seed, quota, [label]).select(
         F.col(label).alias("_class"), F.col("cut").alias("_cut")
     )
@@ -128,6 +136,7 @@ def nearest_in_class(
         grid.append((r[label], *_grid(r["rows"], r["asked"], most, block_rows, tasks)))
     schema = T.StructType([T.StructField(label, df.schema[label].dataType)])
     cuts = df.sparkSession.createDataFrame(grid, schema.add("_slices", "integer").add("_tiles", "integer"))
+    cuts = _few(cuts, len(grid))
     # more partitions than pairs: few pairs meet in one
     parts = max(buckets, min(2_000, 2 * sum(slices * tiles for _, slices, tiles in grid)))
 
@@ -212,12 +221,18 @@ def synthetic_rows(
     spark = df.sparkSession
     kind = df.schema[label].dataType
     integral = isinstance(kind, T.IntegralType)
-    table = [(c, extra[c], sizes[c], c if integral else i) for i, c in enumerate(classes)]
+    # slots ask for the rows (slot + seed) % n of a class in the order of keys: for those
+    # from one key to another, around the end
+    table = [
+        (c, extra[c], sizes[c], c if integral else i, (1 + seed) % sizes[c], (extra[c] + seed) % sizes[c])
+        for i, c in enumerate(classes)
+    ]
     schema = T.StructType([T.StructField(label, kind)])
-    for name in ("_extra", "_n", "_code"):
+    for name in ("_extra", "_n", "_code", "_first_at", "_last_at"):
         schema = schema.add(name, "long")
     wanted = spark.createDataFrame(table, schema)
-    rows = df.join(wanted.select(label), label, "left_semi").select(key, label, features)
+    few = _few(wanted, len(table))
+    rows = df.join(few.select(label), label, "left_semi").select(key, label, features)
     # slots 1.._extra of every class, in pieces, so that a large class is spread
     pieces = wanted.withColumn(
         "_first", F.explode(F.expr(f"sequence(1L, _extra, {_SLOT_PIECE}L)"))
@@ -233,27 +248,41 @@ def synthetic_rows(
         (F.pmod(F.col("slot") * 7919 + code * 104729 + seed, F.lit(k)) + 1).alias("_rank"),
         (F.pmod(F.col("slot") * 15485863 + code * 32452843 + seed, F.lit(1000)) / 1000.0).alias("_u"),
     )
-    numbered = with_rank(rows, [key], [label], name="_pos").withColumn("_at", F.col("_pos") - 1)
-    search = {"exact": nearest_in_class, "pruned": nearest_by_pivots}
-    if neighbours not in search:
+    at = (F.col("_pos") - 1).alias("_at")
+    numbered = with_rank(rows.select(key, label), [key], [label], name="_pos").select(key, label, at)
+    if neighbours == "exact":
+        ends = numbered.join(few, label).groupBy(label, "_extra", "_n", "_first_at", "_last_at").agg(
+            F.max(F.when(F.col("_at") == F.col("_first_at"), F.col(key))).alias("_from"),
+            F.max(F.when(F.col("_at") == F.col("_last_at"), F.col(key))).alias("_upto"),
+        )
+        ends = _few(written(ends, "ends"), len(table))
+        after, before = F.col(key) >= F.col("_from"), F.col(key) <= F.col("_upto")
+        asks = F.when(F.col("_extra") >= F.col("_n"), F.lit(True)).otherwise(
+            F.when(F.col("_first_at") <= F.col("_last_at"), after & before).otherwise(after | before)
+        )
+        marked = rows.join(ends, label).select(key, label, features, asks.alias("_asks"))
+        near = nearest_in_class(marked, key, label, features, k, asked="_asks")
+    elif neighbours == "pruned":
+        near = nearest_by_pivots(rows, key, label, features, k)
+    else:
         raise ValueError(f"unknown kind of neighbours: {neighbours}")
-    near = search[neighbours](rows, key, label, features, k).select(
-        key, label, F.col("neighbour"), F.col("rank").cast("bigint").alias("_rank")
+    near = near.select(key, label, F.col("neighbour"), F.col("rank").cast("bigint").alias("_rank"))
+    # both ends of a line come from one join: the rows are shuffled once for it
+    lines = slots.join(numbered, [label, "_at"]).join(near, [label, key, "_rank"])
+    each = F.array(
+        F.struct(F.col(key).alias("_end"), F.lit(False).alias("_far")),
+        F.struct(F.col("neighbour").alias("_end"), F.lit(True).alias("_far")),
     )
-    other = rows.select(F.col(key).alias("neighbour"), F.col(features).alias("_other"))
+    there = rows.select(F.col(key).alias("_end"), F.col(features).cast("array<double>").alias("_x"))
     return (
-        slots.join(numbered, [label, "_at"])
-        .join(near, [label, key, "_rank"])
-        .join(other, "neighbour")
-        .select(
-            label,
-            "slot",
-            F.zip_with(
-                F.col(features).cast("array<double>"),
-                F.col("_other").cast("array<double>"),
-                lambda x, y: x + F.col("_u") * (y - x),
-            ).alias(features),
+        lines.select(label, "slot", "_u", F.inline(each))
+        .join(there, "_end")
+        .groupBy(label, "slot", "_u")
+        .agg(
+            F.first(F.when(~F.col("_far"), F.col("_x")), ignorenulls=True).alias("_a"),
+            F.first(F.when(F.col("_far"), F.col("_x")), ignorenulls=True).alias("_b"),
         )
+        .select(label, "slot", F.zip_with("_a", "_b", lambda x, y: x + F.col("_u") * (y - x)).alias(features))
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.values import ratio
 from packetloom.schemas import LABELS
+from packetloom.session import written
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -42,8 +43,9 @@ def class_set(df: DataFrame, *columns: str) -> DataFrame:
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Per row n / (k * n_class), with k the number of classes present.
 
-    Class counts come from one pass over the label column and are joined back;
-    Spark broadcasts them while they are few.
+    Class counts come from one pass over the label column. The table of weights is
+    written, so that Spark knows its size: while classes are few it is broadcast, and
+    the rows, with all their columns, stay where they are.
     """
     counts = class_counts(df, label)
     totals = counts.agg(F.struct(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
@@ -51,6 +53,7 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
         F.col(label).alias("_class"),
         (totals["n"] / (totals["k"] * F.col("count"))).alias(name),
     )
+    per_class = written(per_class, "weights")
     return df.join(per_class, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 

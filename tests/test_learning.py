@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.operators import balance
 from packetloom.operators import explain as X
 from packetloom.operators.balance import (
     nearest_in_class,
@@ -107,6 +108,33 @@ def test_pruned_neighbours_give_the_same_rows(flows):
     assert exact.count() and exact.exceptAll(pruned).isEmpty() and pruned.exceptAll(exact).isEmpty()
 
 
+@pytest.mark.parametrize("seed, extra", [(0, 9), (17, 9), (5, 50)])
+def test_smote_asks_for_the_neighbours_of_its_slots_only(spark, monkeypatch, seed, extra):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(51, 3))
+    rows = [(100 - i, 1 if i < 30 else 2, x[i].tolist()) for i in range(51)]  # the second class has 21
+    frame = spark.createDataFrame(rows, "id long, c int, x array<double>").repartition(3)
+    asked = []
+
+    def search(df, *args, **options):
+        asked.append(df.filter(options["asked"]).count() if "asked" in options else df.count())
+        return nearest_in_class(df, *args, **options)
+
+    monkeypatch.setattr(balance, "nearest_in_class", search)
+    made = balance.synthetic_rows(frame, "id", "c", "x", {2: extra}, 4, seed).collect()
+    assert asked == [min(extra, 21)]
+    mine = sorted((i, np.array(v)) for i, c, v in rows if c == 2)
+    want = {}
+    for slot in range(1, extra + 1):
+        i, a = mine[(slot + seed) % 21]
+        others = sorted(((b - a) @ (b - a), j, b) for j, b in mine if j != i)
+        b = others[(slot * 7919 + 2 * 104729 + seed) % 4][2]
+        want[slot] = a + ((slot * 15485863 + 2 * 32452843 + seed) % 1000) / 1000 * (b - a)
+    assert len(made) == extra
+    for r in made:
+        assert r["c"] == 2 and np.allclose(r["x"], want[r["slot"]], atol=1e-12)
+
+
 def test_smote_rows_lie_between_rows_of_their_class(flows):
     rows = flows.select("flow_id", "y", F.array("flow_packets_per_sec", "down_up_ratio").alias("x"))
     out = smote(rows, "flow_id", "y", "x")

@@ -155,3 +155,9 @@ def test_throughput(spark):
 def test_histogram_of_equal_values(spark):
     rows = S.histogram(_values(spark, [3, 3, 3]), "v", 5).orderBy("bin").collect()
     assert [r["count"] for r in rows] == [3, 0, 0, 0, 0]
+
+
+def test_class_weights_leave_the_rows_in_place(spark):
+    frame = spark.range(3000).selectExpr("id", "id % 3 as c", "array(id) as x").repartition(3)
+    plan = E.balanced_weights(frame, "c")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
